@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-_MODULES: list = []
+from stratograph.llm import queries as _queries
+
+_MODULES = [_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
