@@ -82,7 +82,7 @@ _SAYS_GENERATED = (
 _NAME_GENERATED = (
     r"(?i).*(?:\.pb(?:\.\w+)?\.\w+|_pb2(?:_grpc)?\.pyi?|\.pb\.(?:go|cc|h)|\.generated\.\w+|[._-]gen(?:erated)?\.\w+|\.g\.\w+|\.designer\.\w+|\.freezed\.\w+|_autogen\.\w+|[._-]auto[._-]?gen\.\w+|/zz_[^/]*|_deepcopy\.go|\.g4\.\w+|_string\.go|_mock\.go|\.grpc\.\w+|\.swagger\.\w+)")
 _DIR_GENERATED = r"(?i)(?:^|.*/)(?:generated|autogen|auto_gen|gen|__generated__|_generated|generated-sources|gen-src|pb)/.*"
-_DIR_VENDORED = r"(?i)(?:^|.*/)(?:vendor|vendored|third[_-]?party|node_modules|bower_components|site-packages|dist-packages|external_libs|externals|pods|carthage|jspm_packages)/.*"
+_DIR_VENDORED = r"(?i)(?:^|.*/)_?(?:vendor|vendored|third[_-]?party|3rd[_-]?party|node_modules|bower_components|site-packages|dist-packages|jspm_packages|externals?|external[_-]libs|pods|carthage)/.*"
 _NAME_MINIFIED = r"(?i).*(?:[.-]min\.\w+|\.packed\.\w+|\.bundle\.\w+|\.[0-9a-f]{6,}\.(?:chunk\.)?\w+|\.chunk\.\w+|-bundle\.\w+|\.umd\.\w+)"
 _DIR_BUILT = r"(?i)(?:^|.*/)(?:dist|build|out|bundles?)/.*"
 _HAND_SAYS = r"(?i).*\bhand-?written\b.*|.*\bedit freely\b.*"
