@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratograph.llm import documented, written
+from stratograph.llm import credentials, documented, spans, written
 from stratograph.sources.tables import table
 
 
@@ -28,6 +28,27 @@ def p2_pairs(spark: SparkSession, folder: str) -> DataFrame:
     return documented.documented_functions(table(spark, folder, "symbol_nodes"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_reasons, p2_found, p2_pairs)}
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return credentials.credential_lines(table(spark, folder, "symbol_nodes")).select("id", "field", "line_no").distinct()
+
+
+def p6_masked(spark: SparkSession, folder: str) -> DataFrame:
+    return credentials.masked_texts(table(spark, folder, "symbol_nodes"))
+
+
+def _codes(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "symbol_nodes", "id", "code").withColumnRenamed("code", "text")
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return spans.sharing_pairs(spans.shared_windows(_codes(spark, folder)))
+
+
+def p7_shared(spark: SparkSession, folder: str) -> DataFrame:
+    codes = _codes(spark, folder)
+    return spans.shared_share(codes, spans.shared_windows(codes))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_reasons, p2_found, p2_pairs, p6_found, p6_masked, p7_found, p7_shared)}
 
 ORACLES: dict[str, str] = {}
