@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratograph.llm import credentials, documented, spans, written
+from stratograph.llm import credentials, documented, language, spans, written
 from stratograph.sources.tables import table
 
 
@@ -49,6 +49,18 @@ def p7_shared(spark: SparkSession, folder: str) -> DataFrame:
     return spans.shared_share(codes, spans.shared_windows(codes))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_reasons, p2_found, p2_pairs, p6_found, p6_masked, p7_found, p7_shared)}
+def _model(spark: SparkSession, folder: str) -> language.Model:
+    return language.fit_model(table(spark, folder, "documents"), table(spark, folder, "language_codes"))
+
+
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return language.mislabelled(table(spark, folder, "documents"), table(spark, folder, "language_codes"), _model(spark, folder))
+
+
+def p10_segments(spark: SparkSession, folder: str) -> DataFrame:
+    return language.segment_languages(table(spark, folder, "documents"), _model(spark, folder))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_reasons, p2_found, p2_pairs, p6_found, p6_masked, p7_found, p7_shared, p10_found, p10_segments)}
 
 ORACLES: dict[str, str] = {}
