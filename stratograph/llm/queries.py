@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratograph.llm import credentials, documented, language, spans, written
+from stratograph.llm import credentials, documented, language, mixing, packing, spans, tokens, written
+from stratograph.session import cut
 from stratograph.sources.tables import table
 
 
@@ -49,6 +50,29 @@ def p7_shared(spark: SparkSession, folder: str) -> DataFrame:
     return spans.shared_share(codes, spans.shared_windows(codes))
 
 
+def _sizes(spark: SparkSession, folder: str) -> DataFrame:
+    """Token sizes, computed once per query: several passes read them."""
+    return cut(tokens.token_sizes(table(spark, folder, "documents")))
+
+
+def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.fill_containers(_sizes(spark, folder), table(spark, folder, "pack_specs"))
+
+
+def p8_fill(spark: SparkSession, folder: str) -> DataFrame:
+    specs = table(spark, folder, "pack_specs")
+    return packing.fill_report(packing.fill_containers(_sizes(spark, folder), specs), specs)
+
+
+def p9_copies(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix_sources(_sizes(spark, folder), table(spark, folder, "mix_targets"))
+
+
+def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
+    targets = table(spark, folder, "mix_targets")
+    return mixing.mix_report(mixing.mix_sources(_sizes(spark, folder), targets), targets)
+
+
 def _model(spark: SparkSession, folder: str) -> language.Model:
     return language.fit_model(table(spark, folder, "documents"), table(spark, folder, "language_codes"))
 
@@ -61,6 +85,6 @@ def p10_segments(spark: SparkSession, folder: str) -> DataFrame:
     return language.segment_languages(table(spark, folder, "documents"), _model(spark, folder))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_reasons, p2_found, p2_pairs, p6_found, p6_masked, p7_found, p7_shared, p10_found, p10_segments)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_reasons, p2_found, p2_pairs, p6_found, p6_masked, p7_found, p7_shared, p8_containers, p8_fill, p9_copies, p9_shares, p10_found, p10_segments)}
 
 ORACLES: dict[str, str] = {}
