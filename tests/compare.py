@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import sys
 import time
 from pathlib import Path
@@ -48,7 +49,7 @@ if __name__ == "__main__":
     import __spark_entry__ as entry
     from stratograph.session import local_session
 
-    spark = local_session()
+    spark = local_session(os.environ.get("COMPARE_CPUS", "8"))
     folder, names = sys.argv[1], sys.argv[2:]
     con, sqls, bad = connect(folder), entry.oracle_sql(), 0
     for name, query in entry.queries().items():
