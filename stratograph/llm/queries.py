@@ -42,12 +42,12 @@ def _codes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
-    return spans.sharing_pairs(spans.shared_windows(_codes(spark, folder)))
+    return spans.sharing_pairs(spans.sharing(_codes(spark, folder)))
 
 
 def p7_shared(spark: SparkSession, folder: str) -> DataFrame:
     codes = _codes(spark, folder)
-    return spans.shared_share(codes, spans.shared_windows(codes))
+    return spans.shared_share(codes, spans.sharing(codes))
 
 
 def _sizes(spark: SparkSession, folder: str) -> DataFrame:

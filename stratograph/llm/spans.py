@@ -11,6 +11,7 @@ two records share a span if and only if they share such a window.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 import xxhash
@@ -26,8 +27,13 @@ UNIT = 80
 #: k-gram of the winnowing inside long lines; with windows of UNIT - GRAM + 1 grams it finds a start in any UNIT characters.
 GRAM = 40
 
-UNIT_SCHEMA = "id string, pos int, digest long"
-WINDOW_SCHEMA = "id string, pos int, digest binary"
+#: Share of records from which a unit counts as hot; there are at most a fixed number of such units a line of text.
+HOT_SHARE = 0.01
+#: Rows up to which a set found by counting is broadcast; beyond, the same join is shuffled.
+BROADCAST_ROWS = 500_000
+
+UNIT_SCHEMA = "digest long, h long, pos int"
+WINDOW_SCHEMA = "digest binary, prev long, h long, pos int, hot boolean"
 
 
 def _long(text: str) -> int:
@@ -59,100 +65,138 @@ def unit_starts(text: str, length: int = LENGTH, unit: int = UNIT) -> list[int]:
 
 def _units(batches: Iterator[pd.DataFrame], length: int, unit: int) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        ids, places, digests = [], [], []
-        for id_, text in batch.itertuples(index=False):
+        records, places, digests = [], [], []
+        for h, text in batch.itertuples(index=False):
             for p in unit_starts(text, length, unit):
                 if p + unit <= len(text):
-                    ids.append(id_)
+                    records.append(h)
                     places.append(p)
                     digests.append(_long(text[p:p + unit]))
-        yield pd.DataFrame({"id": ids, "pos": pd.Series(places, dtype="int32"), "digest": pd.Series(digests, dtype="int64")})
+        yield pd.DataFrame({"digest": pd.Series(digests, dtype="int64"), "h": pd.Series(records, dtype="int64"), "pos": pd.Series(places, dtype="int32")})
 
 
 def _windows(batches: Iterator[pd.DataFrame], length: int, unit: int) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        ids, places, digests = [], [], []
-        for id_, text, starts in batch.itertuples(index=False):
-            last = -1
-            for s in sorted(starts):
+        rows = []
+        for h, text, starts in batch.itertuples(index=False):
+            last, before = -1, None
+            for s, hot in sorted((x["pos"], x["hot"]) for x in starts):
                 for p in range(max(last + 1, s + unit - length, 0), min(s, len(text) - length) + 1):
-                    ids.append(id_)
-                    places.append(p)
-                    digests.append(xxhash.xxh3_128_digest(text[p:p + length].encode("utf-8", "surrogatepass")))
+                    digest = xxhash.xxh3_128_digest(text[p:p + length].encode("utf-8", "surrogatepass"))
+                    rows.append((digest, before[1] if before and before[0] == p - 1 else None, h, p, hot))
+                    before = (p, int.from_bytes(digest[:8], "big", signed=True))
                 last = max(last, s)
-        yield pd.DataFrame({"id": ids, "pos": pd.Series(places, dtype="int32"), "digest": digests})
+        frame = pd.DataFrame(rows, columns=["digest", "prev", "h", "pos", "hot"])
+        yield frame.astype({"prev": "Int64", "h": "int64", "pos": "int32", "hot": "bool"})
 
 
-def _distinct_texts(records: DataFrame, length: int) -> DataFrame:
-    """(id, text) that can hold a span. Versions of a record with the same text are repeated rows; see below."""
-    return records.select("id", F.col("text")).filter(F.col("id").isNotNull() & (F.char_length("text") >= length))
+def _in(df: DataFrame, few: DataFrame, key: str, how: str) -> DataFrame:
+    """Join with a set that is broadcast if a count shows it small, and shuffled otherwise."""
+    few = cut(few)
+    return df.join(F.broadcast(few), key, how) if few.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df.join(few, key, how)
 
 
-def shared_windows(records: DataFrame, length: int = LENGTH, unit: int = UNIT) -> DataFrame:
-    """(id, pos, digest, holders, mark): windows of ``length`` characters that stand in more than one record.
+@dataclass(frozen=True)
+class Sharing:
+    """What records share: ``members`` (h, id, keeper_id, chars, copies) and ``windows`` (digest, prev, h, pos, hot).
+
+    Records of equal text are one class, ``h`` its number, so a text that a third of all records repeat is
+    looked at once. ``windows`` are those of ``length`` characters around units that stand in more than
+    one class, not yet compared.
+    """
 
-    ``records`` has (id, text). Rows repeated for one id, in whatever order, give the same windows and
-    count once; if the rows of an id differ in text, windows of all its texts count for it. ``holders``
-    is the number of records with the window, ``mark`` a fingerprint of their set.
+    members: DataFrame
+    windows: DataFrame
+    length: int
 
-    Every shuffle is on digests or ids with fixed-size rows; of a digest only counts are kept per
-    group, so a digest that a third of all records share is counted by map-side partials, and its
-    rows are joined to the count by a join that splits hot keys.
+
+def sharing(records: DataFrame, length: int = LENGTH, unit: int = UNIT) -> Sharing:
+    """Collect the windows of (id, text) records that may be shared.
+
+    Repeated rows of an id count once; an id with several texts stands for all of them. Texts shorter than
+    ``length``, null texts and null ids take no part. Of each line only 20 bytes are moved: its digest,
+    the class and the place. A class is numbered by a 64-bit hash of its text.
     """
-    texts = _distinct_texts(records, length)
-    units = texts.mapInPandas(lambda b: _units(b, length, unit), UNIT_SCHEMA)
-    # of each unit only the hash of its record is moved; a collision merely costs a look at a window
-    keyed = units.select("digest", F.xxhash64("id").alias("h"))
-    common = keyed.groupBy("digest").agg(F.min("h").alias("a"), F.max("h").alias("b")).filter("a <> b").select("digest")
-    hits = skew_join(units, common, ["digest"], "left_semi", ["id", "pos"])
-    starts = hits.groupBy("id").agg(F.collect_set("pos").alias("starts"))  # as many as the record has lines, at most
-    near = texts.join(starts, "id").mapInPandas(lambda b: _windows(b, length, unit), WINDOW_SCHEMA).distinct()
-    near = cut(near)  # read twice below
-    holders = near.select("digest", "id").distinct().groupBy("digest").agg(
-        F.count("*").alias("holders"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("s"), F.bit_xor(F.xxhash64(F.lit(7), F.col("id"))).alias("x")).filter("holders > 1")
-    holders = holders.select("digest", "holders", F.xxhash64("holders", "s", "x").alias("mark"))
-    return skew_join(near, holders, ["digest"], "inner", ["id", "pos"])
-
-
-def sharing_pairs(windows: DataFrame) -> DataFrame:
-    """(id_a, id_b), id_a < id_b: all pairs of records that share a window.
-
-    A window is looked at only if in some record the window one character before has other holders:
-    all pairs of the rest were found at an earlier window with the same holders. What is joined thus
-    grows with the number of shared spans, not their length, and every row joined is a pair of
-    the result.
+    texts = records.filter(F.col("id").isNotNull() & (F.char_length("text") >= length)).select("id", F.xxhash64("text").alias("h"), "text")
+    named = texts.select("id", "h", F.char_length("text").alias("chars")).distinct()
+    classes = named.groupBy("h").agg(F.min("id").alias("keeper_id"), F.count("*").alias("copies"))
+    members = cut(skew_join(named, classes, ["h"], "inner", ["id"]))
+    # one text per class: those of the other members are left where they are
+    once = _in(texts, members.filter("id <> keeper_id").select("id", "h"), ["id", "h"], "left_anti").select("h", "text")
+    common = once.mapInPandas(lambda b: _units(b, length, unit), UNIT_SCHEMA).groupBy("digest").agg(F.min("h").alias("a"), F.max("h").alias("b"), F.count("*").alias("n")).filter("a <> b")
+    total = classes.agg(F.count("*").alias("_total"))
+    common = common.join(F.broadcast(total)).select("digest", (F.col("n") >= F.greatest(F.lit(1000), F.col("_total") * HOT_SHARE)).alias("hot"))  # one row
+    hits = _in(once.mapInPandas(lambda b: _units(b, length, unit), UNIT_SCHEMA), common, "digest", "inner")
+    starts = hits.groupBy("h").agg(F.collect_set(F.struct("pos", "hot")).alias("starts"))  # as many as the text has lines, at most
+    windows = _in(once, starts, "h", "inner").mapInPandas(lambda b: _windows(b, length, unit), WINDOW_SCHEMA)
+    return Sharing(members, windows, length)
+
+
+def _compared(windows: DataFrame) -> DataFrame:
+    """Windows that stand in more than one class, with first (smallest keeper is found elsewhere), new: whether their holders may be new.
+
+    ``new`` is false if all holders have the same window one character before: then all their pairs are
+    pairs of that one. Windows around units that are not hot meet in one task per digest, which
+    is few rows; for hot units counts are taken by partials and joined back over split keys.
     """
-    by_place = Window.partitionBy("id").orderBy("pos")
-    new = windows.withColumn("_same", (F.lag("pos").over(by_place) == F.col("pos") - 1) & (F.lag("mark").over(by_place) == F.col("mark")))
-    first = new.filter("NOT coalesce(_same, false)").select("digest").distinct()
-    members = windows.select("digest", "id").join(first, "digest", "left_semi").distinct()
-    left = members.select("digest", F.col("id").alias("id_a"))
-    right = members.select("digest", F.col("id").alias("id_b"))
-    return left.join(right, "digest").filter("id_a < id_b").select("id_a", "id_b").distinct()
+    def facts(agg):
+        return {"shared": agg(F.min("h")) != agg(F.max("h")), "new": F.coalesce(agg(F.min("prev")) != agg(F.max("prev")), F.lit(True)) | (agg(F.count_if(F.col("prev").isNull())) > 0)}
+
+    cold = windows.filter("NOT hot")
+    per_digest = Window.partitionBy("digest")
+    cold = cold.withColumns(facts(lambda c: c.over(per_digest)))
+    hot = windows.filter("hot")
+    f = facts(lambda c: c)
+    stats = hot.groupBy("digest").agg(*[c.alias(n) for n, c in f.items()])
+    hot = skew_join(hot, stats, ["digest"], "inner", ["h", "pos"])
+    columns = ["digest", "h", "pos", "shared", "new"]
+    return cold.select(*columns).unionByName(hot.select(*columns)).filter("shared").drop("shared")
+
+
+def sharing_pairs(found: Sharing) -> DataFrame:
+    """(id_a, id_b), id_a < id_b: all pairs of records that share a span.
+
+    Pairs of classes come from windows whose holders may be new, so what is joined grows with the number of
+    shared spans, not with their length, and every row joined is a pair of the result. Members of
+    one class share all of their text.
+    """
+    ends = _compared(found.windows).filter("new").select("digest", "h").distinct()
+    pairs = ends.select("digest", F.col("h").alias("p")).join(ends.select("digest", F.col("h").alias("q")), "digest").filter("p < q").select("p", "q").distinct()
+    of = found.members.select("h", "id")
+    pairs = pairs.join(of.select(F.col("h").alias("p"), F.col("id").alias("x")), "p").join(of.select(F.col("h").alias("q"), F.col("id").alias("y")), "q").select("x", "y")
+    same = found.members.filter("copies > 1").select("h", "id")
+    within = same.select("h", F.col("id").alias("x")).join(same.select("h", F.col("id").alias("y")), "h").filter("x < y").select("x", "y")
+    return pairs.filter("x <> y").unionByName(within).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
 
 
-def shared_share(records: DataFrame, windows: DataFrame, length: int = LENGTH) -> DataFrame:
+def shared_share(records: DataFrame, found: Sharing) -> DataFrame:
     """Per record: its characters, how many lie in shared spans, the spans, and how many are repeats.
 
     ``spans`` lists maximal runs as begin-end (end exclusive, characters of the original text).
-    ``removable_chars`` are characters in runs of windows for which an earlier ranked record (smaller
-    id) exists: dropping those keeps the earliest occurrence of everything. Records without shared
-    spans are reported with zeros; records of null text with null characters.
+    ``removable_chars`` are characters in windows for which an earlier ranked record (smaller id)
+    exists: dropping those keeps the earliest occurrence of everything. Records without shared
+    spans are reported with zeros; records of null text with null characters. Nothing here forms pairs.
     """
-    first = windows.groupBy("digest").agg(F.min("id").alias("keeper"))
-    # runs of overlapping windows per record: one ordered pass, no list of windows is collected
-    ranked = skew_join(windows.select("id", "pos", "digest"), first, ["digest"], "inner", ["id", "pos"]).withColumn("repeat", F.col("keeper") < F.col("id"))
+    length = found.length
+    keepers = found.members.select("h", "keeper_id").distinct()
+    rows = cut(_compared(found.windows).select("digest", "h", "pos"))
+    first = rows.join(keepers, "h").groupBy("digest").agg(F.min("keeper_id").alias("first_id"))
+    ranked = skew_join(rows, first, ["digest"], "inner", ["h", "pos"]).join(keepers, "h")
 
     def covered(df: DataFrame, out: str) -> DataFrame:
-        by_place = Window.partitionBy("id").orderBy("pos")
+        by_place = Window.partitionBy("h").orderBy("pos")
         step = F.least(F.lit(length), F.coalesce(F.lead("pos").over(by_place) - F.col("pos"), F.lit(length)))
-        return df.select("id", "pos").distinct().withColumn("_chars", step).groupBy("id").agg(F.sum("_chars").alias(out))
-
-    all_runs = windows.select("id", "pos").distinct()
-    by_place = Window.partitionBy("id").orderBy("pos")
-    runs = all_runs.withColumn("_new", (F.col("pos") > F.coalesce(F.lag("pos").over(by_place) + length, F.lit(-1))).cast("int"))
-    runs = runs.withColumn("_run", F.sum("_new").over(by_place)).groupBy("id", "_run").agg(F.min("pos").alias("begin"), (F.max("pos") + length).alias("end"))
-    spans = runs.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("begin", "end"))), lambda s: F.concat(s["begin"], F.lit("-"), s["end"])), " ").alias("spans"))
+        return df.select("h", "pos").distinct().withColumn("_chars", step).groupBy("h").agg(F.sum("_chars").alias(out))
+
+    by_place = Window.partitionBy("h").orderBy("pos")
+    runs = rows.select("h", "pos").distinct().withColumn("_new", (F.col("pos") > F.coalesce(F.lag("pos").over(by_place) + length, F.lit(-1))).cast("int"))
+    runs = runs.withColumn("_run", F.sum("_new").over(by_place)).groupBy("h", "_run").agg(F.min("pos").alias("begin"), (F.max("pos") + length).alias("end"))
+    spans = runs.groupBy("h").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("begin", "end"))), lambda s: F.concat(s["begin"], F.lit("-"), s["end"])), " ").alias("spans"))
+    of_class = keepers.join(covered(rows, "shared"), "h", "left").join(covered(ranked.filter("first_id < keeper_id"), "again"), "h", "left").join(spans, "h", "left").drop("keeper_id")
+    members = found.members.join(of_class, "h")
+    whole = F.col("copies") > 1
+    told = members.select("id", F.when(whole, F.col("chars")).otherwise(F.coalesce("shared", F.lit(0))).alias("s"), F.when(F.col("id") != F.col("keeper_id"), F.col("chars")).otherwise(F.coalesce("again", F.lit(0))).alias("r"),
+                          F.when(whole, F.concat(F.lit("0-"), "chars")).otherwise(F.coalesce("spans", F.lit(""))).alias("t"))
+    told = told.groupBy("id").agg(F.max("s").alias("s"), F.max("r").alias("r"), F.max("t").alias("t"))
     base = records.filter("id IS NOT NULL").groupBy("id").agg(F.max(F.char_length("text")).cast("long").alias("chars"))
-    out = base.join(covered(all_runs, "shared_chars"), "id", "left").join(covered(ranked.filter("repeat"), "removable_chars"), "id", "left").join(spans, "id", "left")
-    return out.select("id", "chars", F.coalesce("shared_chars", F.lit(0)).cast("long").alias("shared_chars"), F.coalesce("removable_chars", F.lit(0)).cast("long").alias("removable_chars"), F.coalesce("spans", F.lit("")).alias("spans"))
+    return base.join(told, "id", "left").select("id", "chars", F.coalesce("s", F.lit(0)).cast("long").alias("shared_chars"), F.coalesce("r", F.lit(0)).cast("long").alias("removable_chars"), F.coalesce("t", F.lit("")).alias("spans"))
