@@ -76,7 +76,7 @@ def change_summary(changed: DataFrame, reached: DataFrame) -> DataFrame:
     """One row: files and symbols changed, symbols and tests affected, score and tier."""
     a = changed.agg(F.count_distinct("file_path").alias("changed_files"), F.count("*").alias("changed_symbols"), F.coalesce(F.max("is_public"), F.lit(False)).alias("_public"))
     b = reached.agg(F.count_if(~F.col("is_test")).alias("affected_symbols"), F.count_if(F.col("is_test")).alias("affected_tests"))
-    raw = (F.col("changed_symbols") * 10.0 + F.col("affected_symbols") * 4.0) * F.when("_public", F.lit(1.5)).otherwise(F.lit(1.0))
+    raw = (F.col("changed_symbols") * 10.0 + F.col("affected_symbols") * 4.0) * F.when(F.col("_public"), F.lit(1.5)).otherwise(F.lit(1.0))
     rows = a.join(F.broadcast(b)).withColumn("blast_score", F.round(F.least(F.lit(100.0), raw)).cast("long"))  # one row each
     s = F.col("blast_score")
     return rows.select("changed_files", "changed_symbols", "affected_symbols", "affected_tests", "blast_score", F.when(s >= 75, "CRITICAL").when(s >= 50, "HIGH").when(s >= 20, "MODERATE").otherwise("LOW").alias("risk_tier"))

@@ -83,7 +83,7 @@ def blast_radius(graph: Graph, targets: DataFrame, change: str = "signature", ma
     home = of_targets.select(F.col("domain").alias("_home")).distinct()
     rows = place.join(hit, "id").join(home, F.col("domain") == F.col("_home"), "left").join(F.broadcast(public))  # one row
     cross = F.when((F.col("domain") != "root") & F.col("_home").isNull(), F.lit(1.5)).otherwise(F.lit(1.0))
-    score = F.lit(10.0) * F.pow(F.lit(0.5), F.col("hop") - 1) * F.when("_public", F.lit(1.8)).otherwise(F.lit(1.0)) * F.lit(CHANGE_WEIGHT.get(change, 1.5)) * cross
+    score = F.lit(10.0) * F.pow(F.lit(0.5), F.col("hop") - 1) * F.when(F.col("_public"), F.lit(1.8)).otherwise(F.lit(1.0)) * F.lit(CHANGE_WEIGHT.get(change, 1.5)) * cross
     return rows.select(F.col("id").alias("node_id"), F.col("name").alias("symbol_name"), "file_path", "domain", "level", "edge_type", F.col("hop").alias("hop_distance"), F.round(score, 2).alias("impact_score"), F.col("line_start").alias("line"))
 
 
