@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +19,8 @@ DEFAULT_RULES = [
     {"from_layer": "domain", "forbidden_to": ["infrastructure", "presentation", "application"], "reason": "Clean Architecture: Domain must be isolated from outer layers"},
 ]
 MAX_CYCLES, TOP_COUPLED = 10, 20
+#: Edges up to which components are found in one task.
+ONE_TASK_EDGES = 200_000
 
 
 def load_rules(path: str | None = None) -> dict:
@@ -78,7 +81,44 @@ def most_coupled(graph: Graph, limit: int = TOP_COUPLED) -> DataFrame:
     return coupling(graph).orderBy(F.desc(F.col("ca") + F.col("ce")), "path").limit(limit)
 
 
-def components(edges: DataFrame) -> DataFrame:
+def strong_components(pairs: list[tuple[str, str]]) -> dict[str, str]:
+    """Node -> smallest member of its component, for components of more than one node: depth-first search without recursion."""
+    out: dict[str, list[str]] = {}
+    for a, b in pairs:
+        out.setdefault(a, []).append(b)
+        out.setdefault(b, [])
+    order, low, on, stack, found = {}, {}, set(), [], {}
+    for root in sorted(out):
+        if root in order:
+            continue
+        work = [(root, iter(out[root]))]
+        order[root] = low[root] = len(order)
+        stack.append(root)
+        on.add(root)
+        while work:
+            v, rest = work[-1]
+            w = next(rest, None)
+            if w is None:
+                work.pop()
+                if work:
+                    low[work[-1][0]] = min(low[work[-1][0]], low[v])
+                if low[v] == order[v]:
+                    members = stack[stack.index(v):] if len(stack) < 64 else stack[len(stack) - 1 - stack[::-1].index(v):]
+                    del stack[len(stack) - len(members):]
+                    on.difference_update(members)
+                    if len(members) > 1:
+                        found.update(dict.fromkeys(members, min(members)))
+            elif w not in order:
+                order[w] = low[w] = len(order)
+                stack.append(w)
+                on.add(w)
+                work.append((w, iter(out[w])))
+            elif w in on:
+                low[v] = min(low[v], order[w])
+    return found
+
+
+def components(edges: DataFrame, in_one_task: int = ONE_TASK_EDGES) -> DataFrame:
     """(id, component) of nodes on cycles: strongly connected components of more than one node, named by their smallest member.
 
     Nodes without an edge in or out among those left are trimmed, round by round; the rest is coloured:

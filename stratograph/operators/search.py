@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,19 +21,22 @@ def tokens(text: Column) -> Column:
     an acronym, and between letters and digits; a part equal to its word is not repeated. Only
     plain replacements are used, so the same expression exists in any SQL dialect.
     """
-    def parts(w: Column) -> Column:
+    def of(w: Column) -> Column:
         marked = F.regexp_replace(w, "([a-z])([A-Z])", "$1_$2")
         marked = F.regexp_replace(marked, "([A-Z])([A-Z][a-z])", "$1_$2")
         marked = F.regexp_replace(marked, "([A-Za-z])([0-9])", "$1_$2")
         marked = F.regexp_replace(marked, "([0-9])([A-Za-z])", "$1_$2")
-        return F.filter(F.split(marked, "_"), lambda p: p != "")
+        whole = F.array(F.lower(w))
+        # most words of prose have no inner boundary and need none of this
+        return F.when(w.rlike("[_A-Z0-9]"), F.concat(whole, F.split(F.lower(marked), "_"))).otherwise(whole)
 
-    def of(w: Column) -> Column:
-        whole, p = F.lower(w), parts(w)
-        lowered = F.filter(F.transform(p, lambda x: F.lower(x)), lambda x: x != whole)
-        return F.concat(F.array(whole), F.when(F.size(p) > 1, lowered).otherwise(F.array().cast("array<string>")))
+    def told(a: Column) -> Column:
+        """The word, and its parts if there are at least two."""
+        several = F.size(F.filter(a, lambda x: x != "")) > 2
+        return F.when(several, F.filter(a, lambda x, i: (i == 0) | ((x != "") & (x != F.get(a, F.lit(0)))))).otherwise(F.slice(a, 1, 1))
 
-    return F.flatten(F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("([a-zA-Z0-9_]+)"), F.lit(1)), of))
+    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("([a-zA-Z0-9_]+)"), F.lit(1))
+    return F.flatten(F.transform(F.transform(found, of), told))
 
 
 def node_texts(graph: Graph) -> DataFrame:
@@ -69,10 +75,33 @@ def scores(postings: DataFrame, documents: DataFrame, question: str) -> DataFram
     return rows.groupBy("id").agg(F.sum(idf * norm * F.col("weight") * F.col("times")).alias("score"))
 
 
+def question_words(question: str) -> list[str]:
+    """The words of a question as :func:`tokens` gives them, each once."""
+    out: dict[str, None] = {}
+    for w in re.findall(r"[a-zA-Z0-9_]+", question):
+        out[w.lower()] = None
+        marked = w
+        for pattern in (r"([a-z])([A-Z])", r"([A-Z])([A-Z][a-z])", r"([A-Za-z])([0-9])", r"([0-9])([A-Za-z])"):
+            marked = re.sub(pattern, r"\1_\2", marked)
+        parts = [p.lower() for p in marked.split("_") if p]
+        out.update(dict.fromkeys(parts if len(parts) > 1 else []))
+    return list(out)
+
+
+def score_texts(texts: DataFrame, question: str) -> DataFrame:
+    """:func:`scores` without an index: one pass over (id, text) in which only words that matter leave their row."""
+    asked = question_words(question)
+    rows = texts.filter("id IS NOT NULL").select("id", tokens(F.col("text")).alias("w"))
+    documents = rows.select("id", F.size("w").cast("long").alias("len")).filter("len > 0")
+    wanted = F.filter("w", lambda t: reduce(lambda a, b: a | b, [F.startswith(t, F.lit(q)) for q in asked], F.lit(False)))
+    postings = rows.select("id", F.explode(wanted).alias("term")).groupBy("term", "id").agg(F.count("*").alias("tf"))
+    return scores(postings, documents, question)
+
+
 def search(graph: Graph, question: str, level: str = "", limit: int = DEFAULT_LIMIT) -> DataFrame:
     """Best nodes for a question: the best ``2 * limit`` of all, of these the wanted level, of these ``limit``."""
     limit = limit if limit > 0 else DEFAULT_LIMIT
-    best = scores(*index(node_texts(graph)), question).filter("score > 0").orderBy(F.desc("score"), "id").limit(2 * limit)
+    best = score_texts(node_texts(graph), question).filter("score > 0").orderBy(F.desc("score"), "id").limit(2 * limit)
     path = F.when(F.col("file_path") == "", F.col("path")).otherwise(F.col("file_path"))
     rows = graph.nodes.join(F.broadcast(best), "id")  # at most 2 * limit rows
     if level:

@@ -227,7 +227,7 @@ ORACLES["s_search"] = f"WITH RECURSIVE {GRAPH_SQL}, " + _bm25_sql(_NODE_TEXT, [(
 def s_documents(spark: SparkSession, folder: str) -> DataFrame:
     """Scores of all documents for a question."""
     texts = table(spark, folder, "documents", "doc_id", "text").withColumnRenamed("doc_id", "id")
-    return search.scores(*search.index(texts), "release branch nightly").withColumn("score", F.round("score", 6))
+    return search.score_texts(texts, "release branch nightly").withColumn("score", F.round("score", 6))
 
 
 @_query("WITH " + _bm25_sql("SELECT doc_id AS id, text FROM documents", [("x", 1)], "SELECT term, count(*) AS documents, sum(tf)::BIGINT AS occurrences FROM post GROUP BY term"))
