@@ -124,9 +124,15 @@ def components(edges: DataFrame, in_one_task: int = ONE_TASK_EDGES) -> DataFrame
     Nodes without an edge in or out among those left are trimmed, round by round; the rest is coloured:
     each node takes the smallest id that reaches it, and what reaches that id backwards within its
     colour is one component. Components found leave and the loop goes on. Every round is a join of
-    fixed-size rows; the lineage is cut each time.
+    fixed-size rows; the lineage is cut each time. Up to ``in_one_task`` edges, which are counted first, one
+    task finds the same components by a depth-first search.
     """
     e = cut(edges.select("src", "dst").filter("src <> dst").distinct())
+    if e.limit(in_one_task + 1).count() <= in_one_task:
+        def run(frame: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame(list(strong_components(list(frame[["src", "dst"]].itertuples(index=False, name=None))).items()), columns=["id", "component"])
+
+        return e.groupBy(F.lit(1).alias("one")).applyInPandas(lambda f: run(f), "id string, component string")
     done = None
     while True:
         before = -1

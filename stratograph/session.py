@@ -53,5 +53,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a scan over at least as many tasks as there are cores, for work that is dear per row.
+
+    A table of few, small files gives few tasks; only then are its rows dealt out. Large scans have tasks
+    enough and stay where they are read.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def data_dir(sf: str = "0.001") -> str:
     return os.path.join(os.environ.get("STRATOGRAPH_DATA", "/root/testdata"), f"sf{sf}")
