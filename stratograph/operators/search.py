@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from stratograph.functions.paths import base_name
 from stratograph.graph import Graph
+from stratograph.session import cut
 
 K1, B, PREFIX_WEIGHT, DEFAULT_LIMIT = 1.2, 0.75, 0.7, 15
 
@@ -53,7 +54,7 @@ def index(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     return postings, documents
 
 
-def scores(postings: DataFrame, documents: DataFrame, question: str) -> DataFrame:
+def scores(postings: DataFrame, documents: DataFrame, question: str, totals: DataFrame | None = None) -> DataFrame:
     """(id, score) of all documents with a word of the question; words asked twice count twice.
 
     A word that stands in no document falls back to all terms it begins, at 0.7 of their score. Only
@@ -62,7 +63,7 @@ def scores(postings: DataFrame, documents: DataFrame, question: str) -> DataFram
     spark = postings.sparkSession
     asked = spark.range(1).select(F.explode(tokens(F.lit(question))).alias("q")).groupBy("q").agg(F.count("*").alias("times"))
     asked = F.broadcast(asked)  # the words of one question
-    totals = documents.agg(F.count("*").alias("n"), F.avg("len").alias("mean"))  # one row
+    totals = documents.agg(F.count("*").alias("n"), F.avg("len").alias("mean")) if totals is None else totals  # one row
     exact = postings.join(asked, postings["term"] == asked["q"]).select("term", "id", "tf", "q", "times", F.lit(1.0).alias("weight"))
     known = postings.join(asked, postings["term"] == asked["q"], "left_semi").select("term").distinct()
     missing = F.broadcast(asked.join(known, asked["q"] == known["term"], "left_anti"))  # words of the question
@@ -92,10 +93,12 @@ def score_texts(texts: DataFrame, question: str) -> DataFrame:
     """:func:`scores` without an index: one pass over (id, text) in which only words that matter leave their row."""
     asked = question_words(question)
     rows = texts.filter("id IS NOT NULL").select("id", tokens(F.col("text")).alias("w"))
-    documents = rows.select("id", F.size("w").cast("long").alias("len")).filter("len > 0")
+    totals = rows.select(F.size("w").alias("len")).filter("len > 0").agg(F.count("*").alias("n"), F.avg("len").alias("mean"))
     wanted = F.filter("w", lambda t: reduce(lambda a, b: a | b, [F.startswith(t, F.lit(q)) for q in asked], F.lit(False)))
-    postings = rows.select("id", F.explode(wanted).alias("term")).groupBy("term", "id").agg(F.count("*").alias("tf"))
-    return scores(postings, documents, question)
+    # what is left is small next to the texts and read several times below
+    hits = cut(rows.select("id", F.size("w").cast("long").alias("len"), wanted.alias("hits")).filter("size(hits) > 0"))
+    postings = hits.select("id", F.explode("hits").alias("term")).groupBy("term", "id").agg(F.count("*").alias("tf"))
+    return scores(postings, hits.select("id", "len"), question, totals)
 
 
 def search(graph: Graph, question: str, level: str = "", limit: int = DEFAULT_LIMIT) -> DataFrame:
