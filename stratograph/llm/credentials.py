@@ -20,6 +20,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stratograph.session import spread
+
 CHUNK, OVERLAP = 1 << 20, 1 << 13
 #: How far before an anchor a line, and behind it a value, may reach when a text has no line breaks.
 BEFORE, BEHIND = 400, 4000
@@ -295,9 +297,9 @@ def credential_lines(symbols: DataFrame) -> DataFrame:
     hold nothing; rows of null id are left out. Texts are scanned where they are read; only
     findings move.
     """
-    return _texts(symbols).mapInPandas(_found, FOUND_SCHEMA).distinct()
+    return spread(_texts(symbols)).mapInPandas(_found, FOUND_SCHEMA).distinct()
 
 
 def masked_texts(symbols: DataFrame) -> DataFrame:
     """(id, field, masked, credentials): each text with credentials, once, with only their values masked."""
-    return _texts(symbols).mapInPandas(_masked, MASKED_SCHEMA).dropDuplicates(["id", "field"])
+    return spread(_texts(symbols)).mapInPandas(_masked, MASKED_SCHEMA).dropDuplicates(["id", "field"])

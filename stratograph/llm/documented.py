@@ -14,6 +14,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stratograph.session import spread
+
 PAIR_SCHEMA = "id string, name string, signature string, code string, documentation string, origin string"
 
 # Pieces shared by all languages: strings and comments are atoms that the recursion cannot enter.
@@ -155,10 +157,10 @@ def documented_functions(symbols: DataFrame) -> DataFrame:
     it is read, and only pairs kept are shuffled to drop repeats.
     """
     rows = symbols.filter("id IS NOT NULL AND trim(code) <> ''").select("id", "name", "signature", "docstring", "code", "file_path")
-    return rows.mapInPandas(_pairs, PAIR_SCHEMA).dropDuplicates(["id"])
+    return spread(rows).mapInPandas(_pairs, PAIR_SCHEMA).dropDuplicates(["id"])
 
 
 def documented_ids(symbols: DataFrame) -> DataFrame:
     """Ids of :func:`documented_functions`: the same operator, but only ids are shuffled."""
     rows = symbols.filter("id IS NOT NULL AND trim(code) <> ''").select("id", "name", "signature", "docstring", "code", "file_path")
-    return rows.mapInPandas(_pairs, PAIR_SCHEMA).select("id").distinct()
+    return spread(rows).mapInPandas(_pairs, PAIR_SCHEMA).select("id").distinct()

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import math
 import unicodedata
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,6 +19,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stratograph.session import spread
+
 #: Bound of the training sample: labelled rows per language, and characters of a row that are read.
 TRAIN_ROWS, TRAIN_CHARS = 2000, 20000
 #: Entries kept per language and table; bounds what is sent to the executors.
@@ -83,31 +85,36 @@ class Model:
         self._cache: dict[str, np.ndarray | None] = {}
 
     @classmethod
-    def fit(cls, samples: dict[str, Counter]) -> Model:
+    def fit(cls, samples: dict[str, Counter], grams: bool = True) -> Model:
         """samples: per language the counts of words (as :func:`words` gives them)."""
         langs = sorted(samples)
-        levels: list[dict[str, Counter]] = [defaultdict(Counter) for _ in range(2 + LONGEST_GRAM)]
-        for lang in langs:
+        levels: list[list[Counter]] = [[Counter() for _ in langs] for _ in range(2 + LONGEST_GRAM)]
+        for k, lang in enumerate(langs):
+            levels[0][k] = Counter(samples[lang])
             for w, n in samples[lang].items():
-                levels[0][lang][w] += n
-                levels[1][lang][fold(w)] += n
-                for form in {w, fold(w)}:
+                plain = fold(w)
+                levels[1][k][plain] += n
+                for form in {w, plain} if grams else ():
                     padded = f" {form} "
                     for size in range(1, LONGEST_GRAM + 1):
+                        counts = levels[1 + size][k]
                         for i in range(len(padded) - size + 1):
-                            levels[1 + size][lang][padded[i:i + size]] += n
+                            counts[padded[i:i + size]] += n
         tables, floors = [], []
         for level, counts in enumerate(levels):
             top = TOP_WORDS if level < 2 else TOP_GRAMS
-            totals = np.array([sum(counts[x].values()) for x in langs], dtype=float)
-            kept = {w for x in langs for w, _ in counts[x].most_common(top)}
-            floor = np.log(0.05 / (totals + 0.05 * (len(kept) + 1)))
-            tables.append({w: np.array([math.log((counts[x][w] + 0.05) / (t + 0.05 * (len(kept) + 1))) for x, t in zip(langs, totals)]) for w in kept})
-            floors.append(floor)
+            kept = sorted({w for c in counts for w, _ in c.most_common(top)})
+            totals = np.array([sum(c.values()) for c in counts], dtype=float) + 0.05 * (len(kept) + 1)
+            if kept:
+                logs = np.log((np.array([[c[w] for c in counts] for w in kept], dtype=float) + 0.05) / totals)
+                tables.append(dict(zip(kept, logs)))
+            else:
+                tables.append({})
+            floors.append(np.log(0.05 / totals))
         return cls(langs, tables, floors)
 
     def word(self, w: str) -> np.ndarray | None:
-        """Score of one word per language, None where no n-gram of it is known."""
+        """Score of one word per language against the best one, None where no n-gram of it is known."""
         if w in self._cache:
             return self._cache[w]
         found = self.tables[0].get(w)
@@ -120,20 +127,17 @@ class Model:
                 if len(hits) * 2 >= len(padded) - size + 1 or size == 1 and hits:
                     found = np.mean(hits, axis=0)
                     break
+        if found is not None:
+            # a word tells at most so much, so that one foreign name does not decide a sentence
+            found = np.maximum(found - found.max(), -6.0)
         if len(self._cache) < 200000:
             self._cache[w] = found
         return found
 
     def score(self, text: str) -> tuple[np.ndarray, int]:
         """Sum of relative word scores and number of words that had one."""
-        total, n = np.zeros(len(self.langs)), 0
-        for w in words(text):
-            s = self.word(w)
-            if s is not None:
-                # a word tells at most so much, so that one foreign name does not decide a sentence
-                total += np.maximum(s - s.max(), -6.0)
-                n += 1
-        return total, n
+        found = [x for w in words(text) if (x := self.word(w)) is not None]
+        return (np.sum(found, axis=0) if found else np.zeros(len(self.langs))), len(found)
 
     def segments(self, text: str) -> list[tuple[int, int, int, str, float]]:
         """(begin, end, sentences, language, confidence) of each run of sentences in one language."""
@@ -145,11 +149,14 @@ class Model:
                 rows.append((begin, end, s, n, n >= 6 or regex.search(r"[.!?…。！？][\s\"'”’»)\]」』]*$", piece) is not None))
         if not rows:
             return []
-        whole = np.sum([r[2] for r in rows], axis=0)
-        best = []
-        for i, (_, _, s, n, _) in enumerate(rows):
-            near = s + 0.15 * sum((rows[j][2] for j in (i - 1, i + 1) if 0 <= j < len(rows)), np.zeros_like(s)) + 0.02 * np.maximum(whole - whole.max(), -60.0)
-            best.append(int(np.argmax(near if n < 4 else s + 0.02 * near)))
+        scores = np.stack([r[2] for r in rows])
+        whole = scores.sum(axis=0)
+        near = np.zeros_like(scores)
+        near[1:] += scores[:-1]
+        near[:-1] += scores[1:]
+        near = scores + 0.15 * near + 0.02 * np.maximum(whole - whole.max(), -60.0)
+        short = np.array([r[3] < 4 for r in rows])
+        best = np.argmax(np.where(short[:, None], near, scores + 0.02 * near), axis=1)
         out, i = [], 0
         while i < len(rows):
             j = i
@@ -202,7 +209,7 @@ def fit_model(documents: DataFrame, codes: DataFrame, rows: int = TRAIN_ROWS) ->
     known = label_of(documents.select("doc_id", "text", "lang"), codes).filter("label IS NOT NULL AND trim(text) <> ''")
     # the threshold on the hash is found from counts, so the sample is one narrow pass, not a sort
     counts = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}  # one row a language
-    part = F.lit(0)
+    known, part = spread(known), F.lit(0)
     for label, n in counts.items():
         part = F.when(F.col("label") == label, F.lit(min(1 << 20, math.ceil((1 << 20) * rows / n)))).otherwise(part)
     sample = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < part).select("label", F.substring("text", 1, TRAIN_CHARS).alias("text"))
@@ -212,27 +219,26 @@ def fit_model(documents: DataFrame, codes: DataFrame, rows: int = TRAIN_ROWS) ->
             out: Counter = Counter()
             for label, text in batch.itertuples(index=False):
                 for _, _, piece in sentences(text):
-                    out[(label, piece)] += 1
+                    if found := words(piece):
+                        out[(label, " ".join(found))] += 1
             yield pd.DataFrame([(a, b, n) for (a, b), n in out.items()], columns=["label", "piece", "n"])
 
-    # distinct sentences of the bounded sample: the only texts that reach the driver
-    pieces = sample.mapInPandas(count, "label string, piece string, n long").groupBy("label", "piece").agg(F.sum("n").alias("n")).collect()
+    # distinct sentences, as their words, of the bounded sample: the only texts that reach the driver
+    pieces = [(r["label"], r["piece"].split(" "), r["n"]) for r in sample.mapInPandas(count, "label string, piece string, n long").groupBy("label", "piece").agg(F.sum("n").alias("n")).collect()]
     samples: dict[str, Counter] = {label: Counter() for label in counts}
-    for r in pieces:
-        for w in words(r["piece"]):
-            samples[r["label"]][w] += r["n"]
+    for label, found, n in pieces:
+        for w in found:
+            samples[label][w] += n
     if not any(samples.values()):
         return Model([], [{} for _ in range(2 + LONGEST_GRAM)], [np.zeros(0)] * (2 + LONGEST_GRAM))
-    first = Model.fit(samples)
-    for _ in range(2):
-        again: dict[str, Counter] = {label: Counter() for label in counts}
-        for r in pieces:
-            s, n = first.score(r["piece"])
-            label = first.langs[int(np.argmax(s))] if n else r["label"]
-            for w in words(r["piece"]):
-                again[label][w] += r["n"]
-        first = Model.fit({k: v for k, v in again.items() if v})
-    return first
+    first = Model.fit(samples, grams=False)
+    again: dict[str, Counter] = {label: Counter() for label in counts}
+    for label, found, n in pieces:
+        s = np.sum([x - x.max() for w in found if (x := first.tables[0].get(w)) is not None] or [np.zeros(len(first.langs))], axis=0)
+        told = first.langs[int(np.argmax(s))] if s.any() else label
+        for w in found:
+            again[told][w] += n
+    return Model.fit({k: v for k, v in again.items() if v})
 
 
 def segment_languages(documents: DataFrame, model: Model) -> DataFrame:
@@ -249,7 +255,7 @@ def segment_languages(documents: DataFrame, model: Model) -> DataFrame:
             out = [(d, i, *s) for d, text in batch.itertuples(index=False) if text and m.langs for i, s in enumerate(m.segments(text))]
             yield pd.DataFrame(out, columns=["doc_id", "segment", "begin", "end", "sentences", "lang", "confidence"])
 
-    return documents.select("doc_id", "text").mapInPandas(run, SEGMENT_SCHEMA).distinct()
+    return spread(documents.select("doc_id", "text")).mapInPandas(run, SEGMENT_SCHEMA).distinct()
 
 
 def identify(documents: DataFrame, model: Model) -> DataFrame:
@@ -262,7 +268,7 @@ def identify(documents: DataFrame, model: Model) -> DataFrame:
             out = [(d, *document_languages(m.segments(text) if text and m.langs else [])) for d, text in batch.itertuples(index=False)]
             yield pd.DataFrame(out, columns=["doc_id", "lang", "confidence", "langs"])
 
-    return documents.select("doc_id", "text").mapInPandas(run, DOCUMENT_SCHEMA).dropDuplicates(["doc_id"])
+    return spread(documents.select("doc_id", "text")).mapInPandas(run, DOCUMENT_SCHEMA).dropDuplicates(["doc_id"])
 
 
 def mislabelled(documents: DataFrame, codes: DataFrame, model: Model) -> DataFrame:

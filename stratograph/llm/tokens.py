@@ -13,6 +13,8 @@ import regex
 import tiktoken
 from pyspark.sql import DataFrame
 
+from stratograph.session import spread
+
 #: Where the vocabulary files are, on every executor; a parameter of all operators that count tokens.
 VOCABULARY = os.environ.get("STRATOGRAPH_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 #: Fixed value: the split pattern that goes with byte-level BPE vocabularies of this family.
@@ -70,4 +72,4 @@ def token_sizes(documents: DataFrame, path: str = VOCABULARY) -> DataFrame:
                                columns=["doc_id", "source", "tokens", "loss_tokens"])
 
     rows = documents.select("doc_id", "source", "text").filter("doc_id IS NOT NULL")
-    return rows.mapInPandas(run, SIZE_SCHEMA).dropDuplicates(["doc_id"])
+    return spread(rows).mapInPandas(run, SIZE_SCHEMA).dropDuplicates(["doc_id"])

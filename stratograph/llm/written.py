@@ -17,6 +17,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stratograph.session import cut, spread
+
 #: Canonical lines per line found, from which a file counts as minified.
 MIN_EXPANSION = 50.0
 #: Bytes from which a layout can be judged; a file of one short line is no bundle.
@@ -102,10 +104,11 @@ def module_evidence(modules: DataFrame, symbols: DataFrame, classes: DataFrame,
         F.max("path").alias("path"), F.max("loc").alias("loc"), F.max(F.lower(F.trim("language"))).alias("language"), F.max("docstring").alias("docstring"),
         F.max(F.lower("sha")).alias("sha"), F.max(F.size(F.coalesce("exports", F.array().cast("array<string>")))).alias("exports"))
     mods = mods.withColumn("path", F.coalesce("path", F.regexp_replace("id", "^file:", "")))
-    laid = (symbols.select("id", F.col("file_path").alias("path"), "code").filter("id IS NOT NULL AND path IS NOT NULL")
+    laid = (spread(symbols.select("id", F.col("file_path").alias("path"), "code").filter("id IS NOT NULL AND path IS NOT NULL"))
             .mapInPandas(_layouts, LAYOUT_SCHEMA).groupBy("path", "id")
             .agg(*[F.max(c).alias(c) for c in ("found_lines", "canonical_lines", "code_chars", "literal_chars", "line_spread")]))
     laid = laid.groupBy("path").agg(F.count("*").alias("symbols"), *[F.sum(c).alias(c) for c in ("found_lines", "canonical_lines", "code_chars", "literal_chars")], F.avg("line_spread").alias("line_spread"))
+    laid = cut(laid)  # one row per file; read twice, and lexing is the dear part
     reach = symbols.select(F.col("file_path").alias("path"), "line_end").unionByName(classes.select(F.col("file_path").alias("path"), "line_end")).filter("path IS NOT NULL")
     reach = reach.groupBy("path").agg(F.max("line_end").alias("covered_to"))
     sizes = cache_files.filter("path IS NOT NULL").groupBy("path").agg(F.max("size").alias("bytes"))
