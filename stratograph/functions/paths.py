@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -100,6 +100,10 @@ def is_file_pattern(pattern: str) -> bool:
     return any(c in pattern for c in "*?[") or "." in pattern[1:]
 
 
+def _like(pattern: str, part: Column) -> Column:
+    return part.rlike(pattern)
+
+
 def ignored(path: Column, patterns: list[str] | None = None) -> Column:
     """Whether a workspace-relative path is left out: folder patterns match any folder of it, file patterns its base name or all of it."""
     tests = []
@@ -108,7 +112,8 @@ def ignored(path: Column, patterns: list[str] | None = None) -> Column:
         if is_file_pattern(p):
             tests.append(base_name(path).rlike(rx) | path.rlike(rx))
         else:
-            tests.append(F.exists(F.slice(F.split(path, "/"), F.lit(1), F.greatest(F.size(F.split(path, "/")) - 1, F.lit(0))), lambda d, rx=rx: d.rlike(rx)) | F.concat(F.regexp_extract(path, "^(.*)/[^/]*$", 1)).rlike(rx))
+            folders = F.slice(F.split(path, "/"), F.lit(1), F.greatest(F.size(F.split(path, "/")) - 1, F.lit(0)))
+            tests.append(F.exists(folders, partial(_like, rx)) | F.regexp_extract(path, "^(.*)/[^/]*$", 1).rlike(rx))
     return reduce(lambda a, b: a | b, tests, F.lit(False))
 
 

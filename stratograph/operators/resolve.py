@@ -55,12 +55,12 @@ def resolve_imports(imports: DataFrame, files: DataFrame, aliases: DataFrame | N
     python, go = ends(".py"), ends(".go")
 
     # relative: climb and descend from the folder of the file
-    dots = F.length(spec) - F.length(F.ltrim(F.lit("."), spec))
-    up = F.concat(folder, F.repeat(F.lit("/.."), F.greatest(dots - 1, F.lit(0))), F.lit("/"), F.translate(F.ltrim(F.lit("."), spec), ".", "/"))
+    dots = F.length(spec) - F.length(F.ltrim(spec, F.lit(".")))
+    up = F.concat(folder, F.repeat(F.lit("/.."), F.greatest(dots - 1, F.lit(0))), F.lit("/"), F.translate(F.ltrim(spec, F.lit(".")), ".", "/"))
     relative = F.when(python, clean(up)).when(folder == "", spec).otherwise(clean(F.concat(folder, F.lit("/"), spec)))
     # absolute: the separator of the language becomes a slash, then source folders are tried
     module = (F.when(python | ends(".java", ".kt", ".kts", ".cs"), F.translate(spec, ".", "/"))
-              .when(ends(".php"), F.translate(F.trim(F.lit("\\"), spec), "\\", "/"))
+              .when(ends(".php"), F.translate(F.trim(spec, F.lit("\\")), "\\", "/"))
               .when(ends(".rs"), F.regexp_replace(F.replace(spec, F.lit("::"), F.lit("/")), "^(?:crate/)?(?:super/)?", ""))
               .when(ends(".c", ".cpp", ".cc", ".h", ".hpp"), F.regexp_replace(spec, "^include/", "")).otherwise(spec))
     absolute = F.array(*[F.struct(F.lit(i + 1).alias("base_rank"), F.concat(F.lit(p), module).alias("base")) for i, p in enumerate(PREFIXES)])
@@ -83,7 +83,7 @@ def resolve_imports(imports: DataFrame, files: DataFrame, aliases: DataFrame | N
     if go_modules is not None:
         g = imp.filter(go).join(F.broadcast(go_modules.select("module", F.col("dir").alias("_dir"))), (spec == F.col("module")) | F.startswith(spec, F.concat("module", F.lit("/"))))  # one row per module file
         best = g.groupBy("source_file", "module_spec", "names").agg(F.max_by(F.struct("module", "_dir"), F.length("module")).alias("m"))
-        sub = F.ltrim(F.lit("/"), F.expr("substring(module_spec, length(m.module) + 1)"))
+        sub = F.ltrim(F.expr("substring(module_spec, length(m.module) + 1)"), F.lit("/"))
         best = best.withColumn("package", F.array_join(F.filter(F.array(F.col("m._dir"), sub), lambda x: x != ""), "/"))
         go_files = files.filter(F.endswith("path", F.lit(".go")) & ~F.endswith("path", F.lit("_test.go"))).select(F.col("path").alias("target"), F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("package"))
         hits = best.join(go_files, "package").filter(F.regexp_extract("source_file", "^(.*)/[^/]*$", 1) != F.col("package"))

@@ -18,6 +18,7 @@ from stratograph.functions import paths
 from stratograph.graph import CALLS, CONTAINS, IMPORTS, NODE_FIELDS, Graph, as_edges, as_nodes
 from stratograph.operators import resolve, routes, sync
 from stratograph.parsing import parse_file
+from stratograph.session import cut
 
 SCAN_SCHEMA = "path string, sha string, mtime long, size long, content string"
 _STRINGS = "array<string>"
@@ -78,13 +79,16 @@ _FIELDS = re.findall(r"(\w+) (?:string|int|boolean|array<string>)", PARSED_SCHEM
 
 
 def graph_of(parsed: DataFrame, aliases: DataFrame | None = None, go_modules: DataFrame | None = None) -> Graph:
-    """The whole graph of parsed files: nodes, domains, resolved edges, routes. Nodes of one id: the last in the file stands."""
+    """The whole graph of parsed files (computed at once, not lazily): nodes, domains, resolved edges, routes. Nodes of one id: the last in the file stands."""
     rows = parsed.select(F.explode("nodes").alias("n")).select("n.*")
     rows = rows.withColumn("name", F.coalesce("name", "filename"))
     nodes = as_nodes(rows.groupBy("id").agg(F.max_by(F.struct(*[c for c in rows.columns if c != "id"]), F.struct(F.coalesce("line_start", F.lit(0)), F.coalesce("line_end", F.lit(0)))).alias("x")).select("id", "x.*"))
     files = nodes.filter("level = 'L1'").select("path", "domain")
-    nodes = nodes.unionByName(sync.domain_nodes(files))
+    # each stage is read many times by those after it, so it is written once
+    nodes = cut(nodes.unionByName(sync.domain_nodes(files)))
+    files = nodes.filter("level = 'L1'").select("path", "domain")
     imports = resolve.resolve_imports(parsed.select(F.explode("imports").alias("i")).select("i.*"), files, aliases, go_modules)
+    imports = cut(imports)
     symbols = nodes.filter("level = 'L3'")
     calls = resolve.resolve_calls(parsed.select(F.explode("calls").alias("c")).select("c.*"), symbols, imports)
     file_id = lambda c: F.concat(F.lit("file:"), c)
@@ -95,7 +99,12 @@ def graph_of(parsed: DataFrame, aliases: DataFrame | None = None, go_modules: Da
              .unionByName(as_edges(imports.select(file_id(F.col("source_file")).alias("src"), file_id(F.col("target")).alias("dst"), F.lit(IMPORTS).alias("edge_type"), "imported_names", "spec")))
              .unionByName(as_edges(calls.withColumn("edge_type", F.lit(CALLS)))))
     found = parsed.select(F.explode("routes").alias("r")).select("r.*").dropDuplicates(["id"])
-    return routes.index_routes(Graph.of(nodes, edges), found).published()
+    graph = Graph(nodes, cut(as_edges(edges).dropDuplicates(["src", "edge_type", "dst"])))
+    found = cut(found)
+    if found.head(1):
+        graph = routes.index_routes(graph, found)
+        graph = Graph(cut(graph.nodes), cut(graph.edges))
+    return graph.published()
 
 
 def read_aliases(spark: SparkSession, root: str) -> DataFrame:
