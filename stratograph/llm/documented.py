@@ -35,7 +35,7 @@ BRACED = regex.compile(
 (?:[^\S\n]*+(?:(?&note)[^\S\n]*+)?\n)*?
 (?P<above>(?:[^\S\n]*+(?:(?&note)|\#(?![\[!])[^\n]*+)[^\S\n]*+\n)*+)
 (?:[^\S\n]*+(?:@[\w.]++[^\S\n]*+(?&round)?+|\#?(?&square))[^\S\n]*+\n?)*+
-(?P<header>[^\S\n]*+(?:[^\s{;=/\#*\"'`(]|(?<!\n)[^\S\n]|(?&round)|=|\n(?=\s*+[\w({]))(?:[^{;\"'`/(]++|(?&string)|(?&note)|(?&round)|/)*+)
+(?P<header>[^\S\n]*+[^\s{};=/\#*\"'`(](?:[^{;\"'`/(]++|(?&string)|(?&note)|(?&round)|/)*+)
 (?P<body>(?&curly)|\{.*+|;|\Z)""",
     regex.VERBOSE | regex.DOTALL,
 )

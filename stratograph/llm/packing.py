@@ -30,6 +30,8 @@ def pack(tokens: np.ndarray, loss: np.ndarray, capacity: int, segments: int, los
     leaves open by a few tokens is closed by the largest class that still fits. Ties go to the
     larger item and then the smaller index: the result does not depend on chance.
     """
+    if len(tokens) and (tokens.max() > capacity or loss.max() > loss_limit or segments < 1):
+        raise ValueError("an item is larger than a container")
     order = np.lexsort((np.arange(len(tokens)), loss, tokens))[::-1]
     demand, first = np.unique(np.stack([tokens[order], loss[order]], axis=1), axis=0, return_index=True)
     classes: dict[tuple[int, int], list[int]] = {}

@@ -44,7 +44,7 @@ def test_chunks_overlap(monkeypatch):
     line = 'apiSecret = "8WOfJEvqv52_iQ3QKqciVbvDc"\n'
     text = ("y = compute(1)\n" * 7 + line) * 40
     assert len(c.find(text)) == 40
-    text = "pass = '" + "Ab3" * 300 + "' " + "z" * 3000 + " tkq_H7lHP6uCKqBDOOLTdJPG"
+    text = "pass = '" + "Ab3xY9" * 150 + "' " + "z" * 3000 + " tkq_H7lHP6uCKqBDOOLTdJPG"
     assert len(c.find(text)) == 2
 
 
