@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 from dataclasses import dataclass
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,8 +13,6 @@ from pyspark.sql import functions as F
 from stratograph.session import shared_dir
 from stratograph.sources.tables import latest, table
 
-#: Changes whenever stored graphs have to be built anew.
-FORMAT = "1"
 
 #: Columns of ``nodes`` with the value that stands for "absent": queries never see a null here.
 NODE_FIELDS: dict[str, tuple[str, object]] = {
@@ -79,15 +78,19 @@ class Graph:
         return cls(nodes, resolve.table_edges(nodes))
 
     @classmethod
-    def indexed(cls, spark: SparkSession, folder: str) -> Graph:
+    def indexed(cls, spark: SparkSession, folder: str, rebuild: bool = False) -> Graph:
         """:meth:`from_tables`, built once per state of the tables and then read from the shared folder.
 
-        The stored graph is keyed by path, length and time of every file it was built from, and becomes
+        The stored graph is keyed by path, length and time of every file it was built from and by the code
+        that builds it; the shared folder may outlive the session, and then so does the graph, unless
+        ``rebuild`` asks for a new one. It becomes
         visible by a rename: readers see all of it or nothing. Nodes lie by level and edges by
         type, so a query opens only what it filters for, and only the columns it names.
         """
         root = f"{shared_dir(spark)}/graphs/{_state(spark, folder)}"
         fs, path = _files(spark, root)
+        if rebuild:
+            fs.delete(path(root), True)
         if not fs.exists(path(root)):
             made = f"{root}.{uuid.uuid4().hex}"
             graph = cls.from_tables(spark, folder)
@@ -209,7 +212,11 @@ def _files(spark: SparkSession, at: str):
 
 def _state(spark: SparkSession, folder: str) -> str:
     """Fingerprint of the files of the node tables."""
-    seen = [FORMAT]
+    from stratograph.operators import resolve, skew
+    from stratograph.sources import tables
+
+    # a graph stored by other code is another graph
+    seen = [hashlib.sha256(Path(m).read_bytes()).hexdigest() for m in (__file__, resolve.__file__, skew.__file__, tables.__file__)]
     for t in _TABLES:
         at = f"{folder.rstrip('/')}/{t}.parquet"
         fs, path = _files(spark, at)
