@@ -54,6 +54,18 @@ def test_cases(spark, data):
     assert empty.langs == [] and g.identify(docs, empty).filter("lang IS NOT NULL").count() == 0
 
 
+def test_quotes_are_passages(spark, data):
+    _, _, codes, model = data
+    rng = random.Random(4)
+    T = {k: text(k, rng) for k in TEXTS}
+    output = "> $ build the report\n> ERROR: der die das ist nicht gut\n> >>> der_bericht(nicht)\n>     Leider hat niemand bemerkt\n> ```\n> Leider ist das nicht gut.\n> Bitte prüfen Sie die Abfrage.\n> ```\n>>> Leider ist das nicht gut. Bitte prüfen Sie die Abfrage."
+    rows = [(1, T["en"] + "\n\n> " + T["de"], "en"), (2, "> " + T["fr"], "de"), (3, T["en"] + "\n\n> > " + T["fr"] + "\n\n" + T["en"], None), (4, T["en"] + "\n\n" + output + "\n\n" + T["en"], "en"), (5, T["en"] + "\n\n> ```\n> x = 1\n\n" + T["de"], "en"), (6, ">" + T["en"], "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {tuple(r) for r in g.mislabelled(docs, codes, model).collect()} == {(1, "en"), (1, "de"), (2, "fr"), (3, "en"), (3, "fr"), (5, "en"), (5, "de")}
+    quoted = [r for r in g.segment_languages(docs, model).collect() if r["doc_id"] == 1 and r["lang"] == "de"]
+    assert [(rows[0][1][r["begin"]:r["end"]], r["sentences"]) for r in quoted] == [(T["de"], 4)]
+
+
 def test_backoff_for_unseen_words(data):
     model = data[3]
     assert model.word("unbemerktheiten") is not None and model.langs[int(model.word("unbemerktheiten").argmax())] == "de"
