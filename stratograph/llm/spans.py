@@ -10,6 +10,7 @@ two records share a span if and only if they share such a window.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,13 +28,15 @@ UNIT = 80
 #: k-gram of the winnowing inside long lines; with windows of UNIT - GRAM + 1 grams it finds a start in any UNIT characters.
 GRAM = 40
 
-#: Share of records from which a unit counts as hot; there are at most a fixed number of such units a line of text.
-HOT_SHARE = 0.01
+#: Share of records from which a window counts as hot, and rows below which none does; the share bounds their number.
+HOT_SHARE, HOT_ROWS = 0.01, 1000
 #: Rows up to which a set found by counting is broadcast; beyond, the same join is shuffled.
 BROADCAST_ROWS = 500_000
 
 UNIT_SCHEMA = "digest long, h long, pos int"
-WINDOW_SCHEMA = "digest binary, prev long, h long, pos int, hot boolean"
+WINDOW_SCHEMA = "digest binary, prev long, h long, pos int"
+#: Digests that are counted in a task before their counts are handed on.
+COUNTED = 200_000
 
 
 def _long(text: str) -> int:
@@ -75,47 +78,76 @@ def _units(batches: Iterator[pd.DataFrame], length: int, unit: int) -> Iterator[
         yield pd.DataFrame({"digest": pd.Series(digests, dtype="int64"), "h": pd.Series(records, dtype="int64"), "pos": pd.Series(places, dtype="int32")})
 
 
+def _places(starts: list, chars: int, length: int, unit: int) -> Iterator[tuple[int, bool]]:
+    """(place, whether the first unit at or after it is frequent) of each window around a unit of a text."""
+    last = -1
+    for s, near in sorted((x["pos"], x["near"]) for x in starts):
+        for p in range(max(last + 1, s + unit - length, 0), min(s, chars - length) + 1):
+            yield p, near
+        last = max(last, s)
+
+
+def _digest(text: str) -> bytes:
+    return xxhash.xxh3_128_digest(text.encode("utf-8", "surrogatepass"))
+
+
 def _windows(batches: Iterator[pd.DataFrame], length: int, unit: int) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = []
         for h, text, starts in batch.itertuples(index=False):
-            last, before = -1, None
-            for s, hot in sorted((x["pos"], x["hot"]) for x in starts):
-                for p in range(max(last + 1, s + unit - length, 0), min(s, len(text) - length) + 1):
-                    digest = xxhash.xxh3_128_digest(text[p:p + length].encode("utf-8", "surrogatepass"))
-                    rows.append((digest, before[1] if before and before[0] == p - 1 else None, h, p, hot))
-                    before = (p, int.from_bytes(digest[:8], "big", signed=True))
-                last = max(last, s)
-        frame = pd.DataFrame(rows, columns=["digest", "prev", "h", "pos", "hot"])
-        yield frame.astype({"prev": "Int64", "h": "int64", "pos": "int32", "hot": "bool"})
-
-
-def _in(df: DataFrame, few: DataFrame, key: str, how: str) -> DataFrame:
+            before = None
+            for p, _ in _places(starts, len(text), length, unit):
+                digest = _digest(text[p:p + length])
+                rows.append((digest, before[1] if before and before[0] == p - 1 else None, h, p))
+                before = (p, int.from_bytes(digest[:8], "big", signed=True))
+        frame = pd.DataFrame(rows, columns=["digest", "prev", "h", "pos"])
+        yield frame.astype({"prev": "Int64", "h": "int64", "pos": "int32"})
+
+
+def _counts(batches: Iterator[pd.DataFrame], length: int, unit: int) -> Iterator[pd.DataFrame]:
+    frame = lambda c: pd.DataFrame({"digest": pd.Series(list(c), dtype="object"), "n": pd.Series(list(c.values()), dtype="int64")})
+    counted: Counter = Counter()
+    for batch in batches:
+        for _, text, starts in batch.itertuples(index=False):
+            counted.update(_digest(text[p:p + length]) for p, near in _places(starts, len(text), length, unit) if near)
+            if len(counted) >= COUNTED:
+                yield frame(counted)
+                counted = Counter()
+    yield frame(counted)
+
+
+def _in(df: DataFrame, few: DataFrame, key: str | list[str], how: str, stored: bool = False) -> DataFrame:
     """Join with a set that is broadcast if a count shows it small, and shuffled otherwise."""
-    few = cut(few)
+    few = few if stored else cut(few)
     return df.join(F.broadcast(few), key, how) if few.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df.join(few, key, how)
 
 
 @dataclass(frozen=True)
 class Sharing:
-    """What records share: ``members`` (h, id, keeper_id, chars, copies) and ``windows`` (digest, prev, h, pos, hot).
+    """What records share: ``members`` (h, id, keeper_id, chars, copies), ``windows`` (digest, prev, h, pos) and ``hot`` (digest).
 
     Records of equal text are one class, ``h`` its number, so a text that a third of all records repeat is
     looked at once. ``windows`` are those of ``length`` characters around units that stand in more than
-    one class, not yet compared.
+    one class, not yet compared; ``hot`` are the digests of frequent ones.
     """
 
     members: DataFrame
     windows: DataFrame
+    hot: DataFrame
     length: int
 
 
-def sharing(records: DataFrame, length: int = LENGTH, unit: int = UNIT) -> Sharing:
+def sharing(records: DataFrame, length: int = LENGTH, unit: int = UNIT, hot_rows: int = HOT_ROWS) -> Sharing:
     """Collect the windows of (id, text) records that may be shared.
 
     Repeated rows of an id count once; an id with several texts stands for all of them. Texts shorter than
     ``length``, null texts and null ids take no part. Of each line only 20 bytes are moved: its digest,
     the class and the place. A class is numbered by a 64-bit hash of its text.
+
+    Hot is a property of a window's digest, so equal windows are compared in one way. Counted are the windows
+    whose unit is frequent: from the bound over the number of places a unit can have in a window. Of the
+    windows of one digest, those with rarer units are fewer than the bound in all, so a digest of twice the
+    bound or more is always found.
     """
     texts = records.filter(F.col("id").isNotNull() & (F.char_length("text") >= length)).select("id", F.xxhash64("text").alias("h"), "text")
     named = texts.select("id", "h", F.char_length("text").alias("chars")).distinct()
@@ -124,33 +156,37 @@ def sharing(records: DataFrame, length: int = LENGTH, unit: int = UNIT) -> Shari
     # one text per class: those of the other members are left where they are
     once = _in(texts, members.filter("id <> keeper_id").select("id", "h"), ["id", "h"], "left_anti").select("h", "text")
     common = once.mapInPandas(lambda b: _units(b, length, unit), UNIT_SCHEMA).groupBy("digest").agg(F.min("h").alias("a"), F.max("h").alias("b"), F.count("*").alias("n")).filter("a <> b")
-    total = classes.agg(F.count("*").alias("_total"))
-    common = common.join(F.broadcast(total)).select("digest", (F.col("n") >= F.greatest(F.lit(1000), F.col("_total") * HOT_SHARE)).alias("hot"))  # one row
+    total = F.broadcast(classes.agg(F.greatest(F.lit(hot_rows), F.count("*") * HOT_SHARE).alias("_bound")))  # one row
+    common = common.join(total).select("digest", (F.col("n") * (length - unit + 1) >= F.col("_bound")).alias("near"))
     hits = _in(once.mapInPandas(lambda b: _units(b, length, unit), UNIT_SCHEMA), common, "digest", "inner")
-    starts = hits.groupBy("h").agg(F.collect_set(F.struct("pos", "hot")).alias("starts"))  # as many as the text has lines, at most
-    windows = _in(once, starts, "h", "inner").mapInPandas(lambda b: _windows(b, length, unit), WINDOW_SCHEMA)
-    return Sharing(members, windows, length)
+    starts = cut(hits.groupBy("h").agg(F.collect_set(F.struct("pos", "near")).alias("starts")))  # as many as the text has lines, at most
+    windows = _in(once, starts, "h", "inner", stored=True).mapInPandas(lambda b: _windows(b, length, unit), WINDOW_SCHEMA)
+    near = _in(once, starts.filter(F.exists("starts", lambda s: s["near"])), "h", "inner", stored=True).mapInPandas(lambda b: _counts(b, length, unit), "digest binary, n long")
+    hot = cut(near.groupBy("digest").agg(F.sum("n").alias("n")).join(total).filter("n >= _bound").select("digest"))
+    return Sharing(members, windows, hot, length)
 
 
-def _compared(windows: DataFrame) -> DataFrame:
+def _compared(found: Sharing) -> DataFrame:
     """Windows that stand in more than one class, with first (smallest keeper is found elsewhere), new: whether their holders may be new.
 
     ``new`` is false if all holders have the same window one character before: then all their pairs are
-    pairs of that one. Windows around units that are not hot meet in one task per digest, which
-    is few rows; for hot units counts are taken by partials and joined back over split keys.
+    pairs of that one. Windows that are not hot meet in one task per digest, which is few rows; for hot
+    ones counts are taken by partials and joined back, by broadcast or over split keys.
     """
     def facts(agg):
         return {"shared": agg(F.min("h")) != agg(F.max("h")), "new": F.coalesce(agg(F.min("prev")) != agg(F.max("prev")), F.lit(True)) | (agg(F.count_if(F.col("prev").isNull())) > 0)}
 
-    cold = windows.filter("NOT hot")
-    per_digest = Window.partitionBy("digest")
-    cold = cold.withColumns(facts(lambda c: c.over(per_digest)))
-    hot = windows.filter("hot")
-    f = facts(lambda c: c)
-    stats = hot.groupBy("digest").agg(*[c.alias(n) for n, c in f.items()])
-    hot = skew_join(hot, stats, ["digest"], "inner", ["h", "pos"])
     columns = ["digest", "h", "pos", "shared", "new"]
-    return cold.select(*columns).unionByName(hot.select(*columns)).filter("shared").drop("shared")
+    few = found.hot.limit(BROADCAST_ROWS + 1).count()
+    cold = _in(found.windows, found.hot, "digest", "left_anti", stored=True) if few else found.windows
+    per_digest = Window.partitionBy("digest")
+    told = cold.withColumns(facts(lambda c: c.over(per_digest))).select(*columns)
+    if few:
+        hot = _in(found.windows, found.hot, "digest", "left_semi", stored=True)
+        stats = hot.groupBy("digest").agg(*[c.alias(n) for n, c in facts(lambda c: c).items()])
+        hot = hot.join(F.broadcast(stats), "digest") if few <= BROADCAST_ROWS else skew_join(hot, stats, ["digest"], "inner", ["h", "pos"])
+        told = told.unionByName(hot.select(*columns))
+    return told.filter("shared").drop("shared")
 
 
 def sharing_pairs(found: Sharing) -> DataFrame:
@@ -160,7 +196,7 @@ def sharing_pairs(found: Sharing) -> DataFrame:
     shared spans, not with their length, and every row joined is a pair of the result. Members of
     one class share all of their text.
     """
-    ends = _compared(found.windows).filter("new").select("digest", "h").distinct()
+    ends = _compared(found).filter("new").select("digest", "h").distinct()
     pairs = ends.select("digest", F.col("h").alias("p")).join(ends.select("digest", F.col("h").alias("q")), "digest").filter("p < q").select("p", "q").distinct()
     of = found.members.select("h", "id")
     pairs = pairs.join(of.select(F.col("h").alias("p"), F.col("id").alias("x")), "p").join(of.select(F.col("h").alias("q"), F.col("id").alias("y")), "q").select("x", "y")
@@ -179,7 +215,7 @@ def shared_share(records: DataFrame, found: Sharing) -> DataFrame:
     """
     length = found.length
     keepers = found.members.select("h", "keeper_id").distinct()
-    rows = cut(_compared(found.windows).select("digest", "h", "pos"))
+    rows = cut(_compared(found).select("digest", "h", "pos"))
     first = rows.join(keepers, "h").groupBy("digest").agg(F.min("keeper_id").alias("first_id"))
     ranked = skew_join(rows, first, ["digest"], "inner", ["h", "pos"]).join(keepers, "h")
 

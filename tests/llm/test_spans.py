@@ -60,6 +60,32 @@ def test_against_brute_force(spark, seed, monkeypatch):
     assert spans.sharing_pairs(spans.sharing(df.limit(0))).count() == 0
 
 
+@pytest.mark.parametrize("few", [0, spans.BROADCAST_ROWS])
+def test_hot_and_cold_windows_mixed(spark, few, monkeypatch):
+    monkeypatch.setattr(spans, "BROADCAST_ROWS", few)
+    rng = random.Random(9)
+    word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    line, tail, head = word(100), "\n" + word(260), word(240)
+    texts = {f"t{i:02}": f"{word(50)}\n{line}\n{word(120)}" for i in range(30)}  # a hot unit, no hot window
+    texts |= {f"u{i:02}": f"{head}\n{word(90)}" for i in range(30)}  # hot windows
+    texts |= {"a": f"{word(40)}\n{line}{tail}", "b": f"{word(40)}\nexport {line}{tail}", "c": f"{word(30)}\nlet {head}", "d": f"x{head}{tail}"}
+    pairs, shared = brute(texts, spans.LENGTH)
+    found = spans.sharing(spark.createDataFrame(list(texts.items()), "id string, text string"), hot_rows=20)
+    assert found.hot.count() >= 20 and ("a", "b") in pairs
+    assert {(r["id_a"], r["id_b"]) for r in spans.sharing_pairs(found).collect()} == pairs
+    assert {r["id"]: (r["shared_chars"], r["removable_chars"]) for r in spans.shared_share(spark.createDataFrame(list(texts.items()), "id string, text string"), found).collect()} == shared
+
+
+def test_pair_is_not_lost_between_hot_and_cold_units(spark):
+    rng = random.Random(12)
+    word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    line, tail = word(100), word(320)
+    rows = [(f"t{i:04}", f"{word(50)}\n{line}\n{word(60)}") for i in range(1200)]
+    rows += [("a", f"{word(40)}\n{line}\n{tail}"), ("b", f"{word(40)}\nexport {line}\n{tail}")]
+    found = spans.sharing(spark.createDataFrame(rows, "id string, text string"))
+    assert [tuple(r) for r in spans.sharing_pairs(found).collect()] == [("a", "b")]
+
+
 def test_units_cover_every_span():
     rng = random.Random(5)
     for _ in range(60):
