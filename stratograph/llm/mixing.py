@@ -1,10 +1,10 @@
 """Mixing sources to target weights: entropy balancing.
 
-Documents start with equal rates. Among all rates that give each source its share of the tokens, those
-are wanted that are closest to equal in relative entropy; they are exponential in the size of a
-document, cut off at the cap of its source, and their multipliers solve a convex dual problem, one
-equation per mix and source. Newton steps are computed from sums over the documents; rates are then
-rounded into whole copies without losing the shares.
+Documents start with equal rates. Among all rates that give each source its share of the tokens, and the
+copies equal rates would give, those are wanted that are closest to equal in relative entropy; they are
+exponential in the size of a document, cut off at the cap of its source, and their multipliers solve a
+convex dual problem, two equations per mix and source, whose solution is known in closed form. Rates are
+then rounded into whole copies without losing the shares.
 """
 
 from __future__ import annotations
@@ -18,9 +18,6 @@ from pyspark.sql import types as T
 
 from stratograph.session import cut
 
-STEPS, PRECISION = 60, 1e-10
-#: Largest multiplier by which documents of one source may differ through their size, as exponent.
-TILT = 1.0
 _TILTS = T.StructType([T.StructField("mix_id", T.LongType()), T.StructField("source", T.StringType()), T.StructField("base", T.DoubleType()), T.StructField("tilt", T.DoubleType()),
                        T.StructField("scale", T.DoubleType()), T.StructField("cap", T.DoubleType()), T.StructField("share", T.DoubleType()), T.StructField("budget", T.DoubleType())])
 
@@ -46,8 +43,9 @@ def plan_mix(sizes: DataFrame, targets: DataFrame) -> tuple[list[tuple], DataFra
         sum over documents of tokens * min(cap, exp(base + tilt * tokens / scale)) = share * total
 
     has to hold for the token constraint, and the number of copies shall be what equal rates would
-    give; Newton's method on both multipliers, the sums computed by Spark over the histogram. What
-    the driver holds is two numbers per row of the parameter table.
+    give. The dual of the two conditions is solved in closed form: tilt 0 and base log(share * total /
+    tokens), that is equal rates, meet both, and where sizes differ there is no other solution. What the driver
+    holds is two numbers per row of the parameter table.
     """
     spark = sizes.sparkSession
     histogram = cut(_histogram(sizes))
@@ -69,34 +67,8 @@ def plan_mix(sizes: DataFrame, targets: DataFrame) -> tuple[list[tuple], DataFra
             rows.append({"mix_id": int(mix), "source": w["source"], "cap": float(w["cap"]) if w["cap"] is not None else math.inf, "share": w["weight"] / total, "budget": budget,
                          "goal": w["weight"] / total * budget, "docs": s["docs"], "scale": s["tokens"] / s["docs"], "tokens": s["tokens"]})
     for r in rows:
-        # equal rates already give the tokens; larger documents are tilted down where a source is repeated, up where it is thinned
-        r["rate"] = r["goal"] / r["tokens"]
-        r["tilt"] = -TILT * math.tanh(math.log(r["rate"])) * 0.1 if r["rate"] < 0.999 * r["cap"] else 0.0
-        r["base"] = math.log(min(r["rate"], r["cap"])) - r["tilt"]
-        r["low"], r["high"], r["done"] = -60.0, 60.0, False
-    for _ in range(STEPS):
-        open_rows = [r for r in rows if not r["done"]]
-        if not open_rows:
-            break
-        table = spark.createDataFrame([(r["mix_id"], r["source"], r["base"], r["tilt"], r["scale"], r["cap"], 0.0, 0.0) for r in open_rows], _TILTS)
-        raw = F.exp(F.col("base") + F.col("tilt") * F.least(F.col("tokens") / F.col("scale"), F.lit(20.0)))
-        rate, slope = F.least(F.col("cap"), raw), F.when(raw < F.col("cap"), raw).otherwise(0.0)
-        sums = {(x["mix_id"], x["source"]): x for x in histogram.join(F.broadcast(table), "source").groupBy("mix_id", "source")
-                .agg(F.sum(F.col("docs") * F.col("tokens") * rate).alias("value"), F.sum(F.col("docs") * F.col("tokens") * slope).alias("slope")).collect()}
-        for r in open_rows:
-            x = sums[(r["mix_id"], r["source"])]
-            gap = x["value"] - r["goal"]
-            if abs(gap) <= PRECISION * r["goal"] or x["slope"] <= 0 and gap <= 0:
-                r["done"] = True
-                continue
-            if gap > 0:
-                r["high"] = min(r["high"], r["base"])
-            else:
-                r["low"] = max(r["low"], r["base"])
-            step = r["base"] - gap / x["slope"] if x["slope"] > 0 else math.nan
-            r["base"] = step if r["low"] < step < r["high"] else (r["low"] + r["high"]) / 2
-            if r["high"] - r["low"] < 1e-13:
-                r["done"] = True
+        # equal rates meet both conditions, within the cap by the choice of the budget; the dual is strictly convex, so they are the solution
+        r["base"], r["tilt"] = math.log(min(r["goal"] / r["tokens"], r["cap"])), 0.0
     return [(r["mix_id"], r["source"], r["base"], r["tilt"], r["scale"], r["cap"], r["share"], r["budget"]) for r in rows], histogram
 
 

@@ -1,3 +1,4 @@
+import math
 import random
 from collections import defaultdict
 
@@ -75,6 +76,22 @@ def test_mixing_reaches_shares_within_caps(spark):
     assert mixing.mix_sources(sizes.limit(0), targets).count() == 0 and mixing.mix_sources(sizes, targets.limit(0)).count() == 0
 
 
+def test_mixing_solves_the_dual(spark):
+    rng = random.Random(3)
+    rows = [(i, "ab"[i % 3 == 0], min(3000, int(rng.paretovariate(1) * 20)), 0) for i in range(600)]
+    plan, _ = mixing.plan_mix(spark.createDataFrame(rows, SIZES), spark.createDataFrame([(1, "a", 1.0, None), (1, "b", 4.0, 5)], "mix_id int, source string, weight double, max_repeats int"))
+    assert len(plan) == 2
+    for _, source, base, tilt, scale, cap, share, budget in plan:
+        t = np.array([r[2] for r in rows if r[1] == source], dtype=float)
+        x, goal = np.minimum(t / scale, 20.0), np.array([share * budget, len(t) * share * budget / t.sum()])
+        at = np.array([math.log(goal[1] / len(t)) + 0.05, -0.1])
+        for _ in range(50):  # plain 2x2 Newton on tokens and copies, from elsewhere
+            rate = np.exp(at[0] + at[1] * x)
+            gap = np.array([(t * rate).sum(), rate.sum()]) - goal
+            at = at - np.linalg.solve(np.array([[(t * rate).sum(), (t * x * rate).sum()], [rate.sum(), (x * rate).sum()]]), gap)
+        assert np.allclose(at, [base, tilt], atol=1e-9) and math.exp(base) <= cap
+
+
 def test_copies_are_whole_and_close():
     import pandas as pd
 
