@@ -3,18 +3,15 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from dataclasses import dataclass, field
 
+from stratograph.parsing.declarations import Tokens
 from stratograph.parsing.source import Parsed, Source, call_sites, class_row, module_row, symbol_row
 
 CALL = re.compile(r"([\w$]+)\s*\(")
 _TAG = re.compile(r"<([A-Z]\w*)")
 _NESTED = re.compile(r"\bfunction\s")
-_IMPORT = re.compile(r"^\s*import\s+(?:type\s+)?(?:(?P<what>[\w$*{},\s]+?)\s+from\s+)?['\"](?P<spec>[^'\"\n]+)['\"]", re.M)
-_CLASS = re.compile(r"^[ \t]*(?P<export>export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+(?P<name>[\w$]+)(?:<[^>{]*>)?(?:\s+extends\s+(?P<base>[\w$.]+)(?:<[^>{]*>)?)?(?:\s+implements\s+(?P<more>[^{]+))?\s*\{", re.M)
-_INTERFACE = re.compile(r"^[ \t]*(?P<export>export\s+)?interface\s+(?P<name>[\w$]+)(?:<[^>{]*>)?(?:\s+extends\s+(?P<more>[^{]+))?\s*\{", re.M)
-_FUNCTION = re.compile(r"^[ \t]*(?P<export>export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*(?P<name>[\w$]+)\s*(?:<[^>(]*>)?\(", re.M)
-_ARROW = re.compile(r"^[ \t]*(?P<export>export\s+)?(?:const|let|var)\s+(?P<name>[\w$]+)\s*(?::[^=\n]+)?=\s*(?:async\s+)?\([^)]*\)\s*(?::\s*[^=\n]+)?=>", re.M)
-_METHOD = re.compile(r"^[ \t]*(?P<mods>(?:(?:public|private|protected|static|async|override|readonly|abstract|get|set)\s+)*)(?P<name>[#\w$]+)\s*(?:<[^>(]*>)?\(")
 _COMPONENT = re.compile(r"@Component\b")
 # Words that look like calls or methods, words and signs that branch.
 _NO_CALLS = frozenset("if for while switch catch return new typeof React".split())
@@ -55,22 +52,151 @@ def _open_brace(src: Source, at: int) -> int:
     return -1
 
 
-def _names(what: str | None) -> list[str]:
-    out = []
-    for part in re.findall(r"\*\s+as\s+[\w$]+|[\w$]+(?:\s+as\s+[\w$]+)?", what or ""):
-        out.append(part.split()[-1])
-    return [x for x in out if x != "type"]
+# ---- heads ------------------------------------------------------------------------------------
+_WORDS_BEFORE = frozenset("export default abstract async declare".split())
+_BINDINGS = frozenset("const let var".split())
+_MEMBER_WORDS = frozenset("public private protected static async override readonly abstract get set accessor declare".split())
+
+
+@dataclass(frozen=True)
+class Head:
+    """The opening of a declaration: word and name, offsets of the name and behind the head, and what it says."""
+
+    word: str
+    name: str
+    at: int
+    end: int
+    exported: bool
+    extends: list[str] = field(default_factory=list)
+    implements: list[str] = field(default_factory=list)
+
+
+def _first_on_line(t: Tokens, i: int) -> int:
+    """Position of the first of the words that stand before i and belong to it; -1 if anything else stands on its line before them."""
+    j = i
+    while t.text(j - 1) in _WORDS_BEFORE:
+        j -= 1
+    return j if j == 0 or t.line(j - 1) != t.line(j) else -1
+
+
+def _listed(t: Tokens, i: int, stops: tuple[str, ...]) -> tuple[list[str], int]:
+    """Entries between commas from i up to a stop, as written, and where they end."""
+    out, start, j = [], i, i
+    while j < len(t):
+        if t.text(j) in (",", *stops):
+            out.append(t.between(start, j))
+            start = j + 1
+            if t.text(j) != ",":
+                return [x for x in out if x], j
+        j = t.behind(j) if t.text(j) in ("(", "[", "<") else j + 1
+    return [x for x in out if x], j
+
+
+def _heads(t: Tokens) -> Iterator[Head]:
+    """Classes, interfaces, functions and arrow functions that begin a line."""
+    for i, token in enumerate(t.all):
+        word = token.text
+        if word not in ("class", "interface", "function") and word not in _BINDINGS or (first := _first_on_line(t, i)) < 0:
+            continue
+        exported, j = t.text(first) == "export", i + 1
+        if word == "function" and t.text(j) == "*":
+            j += 1
+        if not t.is_word(j) and t.text(j)[:1] != "$":
+            continue
+        name, at = t.text(j), t.all[j].at
+        j = t.behind(j + 1) if t.text(j + 1) == "<" else j + 1
+        if word == "function":
+            if t.text(j) == "(":
+                yield Head(word, name, at, t.all[j].end, exported)
+        elif word in _BINDINGS:
+            if (arrow := _arrow(t, j)) >= 0:
+                yield Head("arrow", name, at, t.all[arrow].end, exported)
+        else:
+            extends, implements = [], []
+            if t.text(j) == "extends":
+                extends, j = _listed(t, j + 1, ("{", "implements"))
+            if t.text(j) == "implements":
+                implements, j = _listed(t, j + 1, ("{",))
+            if t.text(j) == "{":
+                yield Head(word, name, at, t.all[j].end, exported, extends, implements)
+
+
+def _arrow(t: Tokens, i: int) -> int:
+    """Position of the arrow of a function bound by ``= (...) =>``, -1 if something else is bound."""
+    if t.text(i) == ":":  # the type of the variable, up to its equals sign
+        i = t.until(i, ("=", ";"))
+    if t.text(i) != "=":
+        return -1
+    i += 1 + (t.text(i + 1) == "async")
+    if t.text(i) == "<":
+        i = t.behind(i)
+    if t.text(i) != "(":
+        return -1
+    i = t.behind(i)
+    if t.text(i) == ":":
+        i = t.until(i, ("=>", ";", "="))
+    return i if t.text(i) == "=>" else -1
+
+
+def _member(t: Tokens, i: int) -> tuple[list[str], str, int] | None:
+    """(modifiers, name, position of the bracket) of a method that begins at i; None for other members."""
+    mods = []
+    while t.text(i) in _MEMBER_WORDS and (t.is_word(i + 1) or t.text(i + 1) in ("#", "*", "[") or t.text(i + 1)[:1] == "$"):
+        mods.append(t.text(i))
+        i += 1
+    i += t.text(i) == "*"
+    mark = "#" if t.text(i) == "#" else ""
+    i += bool(mark)
+    if not t.is_word(i) and t.text(i)[:1] != "$":
+        return None
+    j = t.behind(i + 1) if t.text(i + 1) == "<" else i + 1
+    return (mods, mark + t.text(i), j) if t.text(j) == "(" else None
+
+
+def _field(t: Tokens, i: int, last_line: int) -> str:
+    """``name: type`` of a field that begins at i; '' for other members."""
+    while t.text(i) in _MEMBER_WORDS and t.is_word(i + 1):
+        i += 1
+    mark = "#" if t.text(i) == "#" else ""
+    i += bool(mark)
+    j = i + 1 + (t.text(i + 1) in ("?", "!"))
+    if not t.is_word(i) or t.text(j) != ":":
+        return ""
+    end = j + 1
+    while end < len(t) and t.line(end) <= last_line and t.text(end) not in (";", "="):
+        end = t.behind(end) if t.text(end) in ("(", "[", "{", "<") else end + 1
+    return f"{mark}{t.text(i)}: {t.between(j + 1, end)}" if end > j + 1 else ""
+
+
+def _imports(src: Source, t: Tokens) -> Iterator[tuple[str, list[str]]]:
+    """(module, names) of each import; the name of a module is a string, so it is read from the text."""
+    for i, token in enumerate(t.all):
+        if token.text != "import" or i and t.line(i - 1) == t.line(i) and t.text(i - 1) != ";" or t.text(i + 1) in ("(", "."):
+            continue
+        j = i + 1 + (t.text(i + 1) == "type" and (t.is_word(i + 2) and t.text(i + 2) != "from" or t.text(i + 2) in ("{", "*")))
+        names = []
+        while j < len(t) and (t.is_word(j) or t.text(j) in ("{", "}", ",", "*") or t.text(j)[:1] == "$") and t.text(j) != "from":
+            if t.text(j) not in ("{", "}", ",", "*", "type", "as") and t.text(j + 1) != "as":
+                names.append(t.text(j))
+            j += 1
+        j += t.text(j) == "from"
+        if t.text(j) in ("'", '"'):
+            close = src.text.find(t.text(j), t.all[j].end)
+            spec = src.text[t.all[j].end:close] if close > 0 else ""
+            if spec and "\n" not in spec:
+                yield spec, names
 
 
 def parse(path: str, text: str, sha: str, domain: str, language: str) -> Parsed:
     src = Source(path, text, language)
     jsx = path.endswith((".tsx", ".jsx", ".js"))
     out = Parsed(module_row(path, text, sha, domain, language))
-    for m in _IMPORT.finditer(text):
-        if src.bare[m.start():m.end()].strip()[:6] != "import":
-            continue  # inside a comment
-        spec = m.group("spec")
-        out.imports.append({"source_file": path, "module_spec": spec, "names": _names(m.group("what")), "is_relative": spec.startswith(".")})
+    tokens = Tokens(src)
+    starts: dict[int, int] = {}  # line -> position of its first token
+    for i in range(len(tokens)):
+        starts.setdefault(tokens.line(i), i)
+    for spec, names in _imports(src, tokens):
+        out.imports.append({"source_file": path, "module_spec": spec, "names": names, "is_relative": spec.startswith(".")})
         out.module["import_paths"].append(spec)
 
     def add(name: str, kind: str, parent: str, first: int, last: int, head: str, public: bool, own: str) -> None:
@@ -87,67 +213,69 @@ def parse(path: str, text: str, sha: str, domain: str, language: str) -> Parsed:
         out.calls.extend({"caller_id": f"symbol:{path}:{name}", "called_name": c, "line_number": n} for c, n in calls)
 
     inside: list[tuple[int, int]] = []
-    for m in _CLASS.finditer(src.bare):
-        name, first = m.group("name"), src.line_of(m.start("name"))
-        end = src.closing(m.end() - 1)
-        last = src.line_of(end - 1)
-        inside.append((m.end() - 1, end))
-        exported = bool(m.group("export"))
-        if exported:
-            out.module["exports"].append(name)
-        above = "\n".join(src.bare_lines[max(0, first - 8):first + 1])
-        component = _COMPONENT.search(above[above.rfind("}\n\n") + 1:]) is not None
-        bases = [b for b in [m.group("base"), *[x.strip() for x in (m.group("more") or "").split(",")]] if b]
-        class_id, fields, depth = f"class:{path}:{name}", [], 1
-        i = src.line_of(m.end() - 1)
-        j = i + 1
-        while j < last:
-            line = src.bare_lines[j]
-            member = _METHOD.match(line) if depth == 1 else None
-            if member and member.group("name") not in _NO_METHODS:
-                brace = _open_brace(src, src.start_of(j) + member.end() - 1)
-                if 0 <= brace < end:
-                    stop = src.line_of(src.closing(brace) - 1)
-                    method, head = member.group("name"), re.sub(r"\s+", " ", text[src.start_of(j):brace]).strip()
-                    hidden = method.startswith(("_", "#")) or "private" in member.group("mods")
-                    add(f"{name}.{method}", "method", class_id, j, stop, head, not hidden, method)
-                    j = stop + 1
-                    continue
-            elif depth == 1 and (f := re.match(r"\s*(?:(?:public|private|protected|static|readonly)\s+)*([\w$#]+)\??\s*:\s*([^=;]+)", line)):
-                fields.append(f"{f.group(1)}: {f.group(2).strip()}")
-            depth += line.count("{") - line.count("}")
-            j += 1
-        out.classes.append(class_row(path, name, "component" if component else "class", exported, "@Component" if component else "", first + 1, last + 1, bases, fields))
-    for m in _INTERFACE.finditer(src.bare):
-        name, first, end = m.group("name"), src.line_of(m.start("name")), src.closing(m.end() - 1)
-        inside.append((m.end() - 1, end))
-        if m.group("export"):
-            out.module["exports"].append(name)
-        members = [x.strip().rstrip(";,") for x in re.split(r"[\n;]", src.text[m.end():end - 1]) if x.strip()]
-        row = class_row(path, name, "interface", bool(m.group("export")), "", first + 1, src.line_of(end - 1) + 1, [x.strip() for x in (m.group("more") or "").split(",") if x.strip()], [x for x in members if "(" not in x.partition(":")[0]])
-        row["method_signatures"] = [x for x in members if "(" in x.partition(":")[0]]
-        out.classes.append(row)
+    heads = list(_heads(tokens))
+    for h in heads:
+        if h.word == "class":
+            name, first = h.name, src.line_of(h.at)
+            end = src.closing(h.end - 1)
+            last = src.line_of(end - 1)
+            inside.append((h.end - 1, end))
+            if h.exported:
+                out.module["exports"].append(name)
+            above = "\n".join(src.bare_lines[max(0, first - 8):first + 1])
+            component = _COMPONENT.search(above[above.rfind("}\n\n") + 1:]) is not None
+            class_id, fields, depth = f"class:{path}:{name}", [], 1
+            j = src.line_of(h.end - 1) + 1
+            while j < last:
+                line = src.bare_lines[j]
+                member = _member(tokens, starts[j]) if depth == 1 and j in starts else None
+                if member and member[1] not in _NO_METHODS:
+                    mods, method, bracket = member
+                    brace = _open_brace(src, tokens.all[bracket].at)
+                    if 0 <= brace < end:
+                        stop = src.line_of(src.closing(brace) - 1)
+                        head = re.sub(r"\s+", " ", text[src.start_of(j):brace]).strip()
+                        hidden = method.startswith(("_", "#")) or "private" in mods
+                        add(f"{name}.{method}", "method", class_id, j, stop, head, not hidden, method)
+                        j = stop + 1
+                        continue
+                elif depth == 1 and j in starts and (told := _field(tokens, starts[j], j)):
+                    fields.append(told)
+                depth += line.count("{") - line.count("}")
+                j += 1
+            bases = [re.sub(r"<.*", "", b) if i == 0 and h.extends else b for i, b in enumerate([*h.extends, *h.implements])]
+            out.classes.append(class_row(path, name, "component" if component else "class", h.exported, "@Component" if component else "", first + 1, last + 1, bases, fields))
+    for h in heads:
+        if h.word == "interface":
+            first, end = src.line_of(h.at), src.closing(h.end - 1)
+            inside.append((h.end - 1, end))
+            if h.exported:
+                out.module["exports"].append(h.name)
+            members = [x.strip().rstrip(";,") for x in re.split(r"[\n;]", src.text[h.end:end - 1]) if x.strip()]
+            row = class_row(path, h.name, "interface", h.exported, "", first + 1, src.line_of(end - 1) + 1, h.extends, [x for x in members if "(" not in x.partition(":")[0]])
+            row["method_signatures"] = [x for x in members if "(" in x.partition(":")[0]]
+            out.classes.append(row)
 
     top: list[tuple[int, int]] = []
-    for pattern in (_FUNCTION, _ARROW):
-        for m in pattern.finditer(src.bare):
-            at = m.start("name")
-            if any(b < at < e for b, e in inside + top):
+    for word in ("function", "arrow"):
+        for h in heads:
+            if h.word != word or any(b < h.at < e for b, e in inside + top):
                 continue
-            name, first = m.group("name"), src.line_of(at)
-            if pattern is _FUNCTION:
-                brace = _open_brace(src, m.end() - 1)
-                end = src.closing(brace) if brace >= 0 else m.end()
-                head = text[src.start_of(first):brace if brace >= 0 else m.end()]
+            first = src.line_of(h.at)
+            if word == "function":
+                brace = _open_brace(src, h.end - 1)
+                end = src.closing(brace) if brace >= 0 else h.end
+                head = text[src.start_of(first):brace if brace >= 0 else h.end]
             else:
-                rest = re.compile(r"\s*([{(])?").match(src.bare, m.end())
-                end = src.closing(rest.start(1), "{}" if rest.group(1) == "{" else "()") if rest.group(1) else (src.bare.find("\n", m.end()) if "\n" in src.bare[m.end():] else len(src.bare))
-                head = text[src.start_of(first):m.end()]
-            top.append((at, end))
-            exported = bool(m.group("export"))
-            if exported:
-                out.module["exports"].append(name)
-            add(name, "component" if name[0].isupper() else "function", f"file:{path}", first, src.line_of(max(end - 1, at)), re.sub(r"\s+", " ", head).strip(), exported or not name.startswith("_"), name)
+                at = h.end + len(src.bare[h.end:]) - len(src.bare[h.end:].lstrip())
+                opens = src.bare[at:at + 1]
+                stop = src.bare.find("\n", h.end)
+                end = src.closing(at, "{}" if opens == "{" else "()") if opens and opens in "{(" else stop if stop >= 0 else len(src.bare)
+                head = text[src.start_of(first):h.end]
+            top.append((h.at, end))
+            if h.exported:
+                out.module["exports"].append(h.name)
+            add(h.name, "component" if h.name[0].isupper() else "function", f"file:{path}", first, src.line_of(max(end - 1, h.at)), re.sub(r"\s+", " ", head).strip(), h.exported or not h.name.startswith("_"), h.name)
     out.symbols.sort(key=lambda s: s["line_start"])
     return out.roll_up()
 

@@ -8,7 +8,8 @@ from dataclasses import dataclass, field
 
 from stratograph.functions.paths import LANGUAGES, LAYERS, ROOTS
 
-MAX_BODY = 150
+#: Lines after which the scan of a body gives up; 0 reads every body to its end. 150 gives the numbers of indexers that stop there.
+MAX_BODY = 0
 _C_LIKE = re.compile(r"//[^\n]*|/\*.*?(?:\*/|\Z)|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`", re.DOTALL)
 _HASHED = re.compile(r"\"{3}.*?(?:\"{3}|\Z)|'{3}.*?(?:'{3}|\Z)|#[^\n]*|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'", re.DOTALL)
 _PHP = re.compile(r"//[^\n]*|#(?!\[)[^\n]*|/\*.*?(?:\*/|\Z)|\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*'", re.DOTALL)
@@ -133,24 +134,3 @@ def call_sites(src: Source, spans: list[tuple[int, str]], pattern: re.Pattern, e
             if m.group(1) != own and m.group(1) not in excluded:
                 found.setdefault(m.group(1), line + 1)
     return list(found.items())
-
-
-def body_extent(bare_lines: list[str], start: int, limit: int = MAX_BODY) -> tuple[int, bool]:
-    """(last line, one_line) of a body that begins on a line: up to where its braces balance, at most ``limit`` lines.
-
-    A line that ends in ``;`` without a brace has no body. Without a brace on the first line the body is
-    sought on the next one only.
-    """
-    head = bare_lines[start]
-    depth = head.count("{") - head.count("}")
-    if "{" not in head and head.rstrip().endswith(";"):
-        return start, False
-    if "{" in head and depth <= 0:
-        return start, True
-    last = start
-    for i in range(start + 1, min(len(bare_lines), start + limit)):
-        last = i
-        depth += bare_lines[i].count("{") - bare_lines[i].count("}")
-        if depth <= 0:
-            break
-    return last, False
