@@ -19,6 +19,10 @@ def test_pack_never_overflows_and_wastes_little():
     assert sorted(i for b in bins for i in b) == list(range(1500))
     assert all(size[b].sum() <= 512 and loss[b].sum() <= 400 and len(b) <= 128 for b in bins)
     assert len(bins) <= 1.05 * max(size.sum() / 512, loss.sum() / 400) + 1
+    assert any(loss[b].sum() >= 390 for b in bins)
+    tight = packing.pack(size, loss, 512, 6, 400)
+    assert max(map(len, tight)) == 6 and len(tight) > len(bins)
+    assert sorted(map(sorted, packing.pack(np.array([9, 5, 5, 1]), np.array([9, 5, 0, 0]), 10, 4, 6))) == [[0, 3], [1, 2]]  # 9 loss-bearing tokens are all of a container's share
     assert packing.pack(np.array([], dtype=int), np.array([], dtype=int), 8, 2, 8) == [] and len(packing.pack(np.zeros(5, dtype=int), np.zeros(5, dtype=int), 8, 2, 8)) == 3
 
 
@@ -42,7 +46,10 @@ def test_containers(spark):
         assert sum(used.values()) / (len(used) * cap) > 0.93
     assert {r["spec_id"] for r in placed} == {1, 2}
     report = {r["spec_id"]: r for r in packing.fill_report(packing.fill_containers(sizes, specs, cell=100), specs).collect()}
+    assert report[1]["at_loss"] > 0 and report[1]["most_segments"] <= report[1]["segment_limit"] and report[1]["most_loss"] <= report[1]["loss_limit"]
     assert report[1]["containers"] >= report[1]["least_containers"] and report[1]["fullest"] <= 512
+    few = packing.fill_report(packing.fill_containers(sizes, specs, cell=100, segment_slack=1.2), specs, segment_slack=1.2).filter("spec_id = 1").first()
+    assert few["at_segments"] > 0 and few["most_segments"] <= few["segment_limit"] < report[1]["most_segments"]
     assert packing.fill_containers(sizes.limit(0), specs).count() == 0 and packing.fill_containers(sizes, specs.limit(0)).count() == 0
 
 
@@ -77,19 +84,23 @@ def test_mixing_reaches_shares_within_caps(spark):
 
 
 def test_mixing_solves_the_dual(spark):
+    """Tilts against a plain solver of the primal's optimality conditions (bisection on each source), to 1e-6; both signs occur."""
     rng = random.Random(3)
-    rows = [(i, "ab"[i % 3 == 0], min(3000, int(rng.paretovariate(1) * 20)), 0) for i in range(600)]
-    plan, _ = mixing.plan_mix(spark.createDataFrame(rows, SIZES), spark.createDataFrame([(1, "a", 1.0, None), (1, "b", 4.0, 5)], "mix_id int, source string, weight double, max_repeats int"))
-    assert len(plan) == 2
-    for _, source, base, tilt, scale, cap, share, budget in plan:
+    rows = [(i, "ab"[i % 3 == 0], min(3000, int(rng.paretovariate(1) * 20)), 0) for i in range(600)] + [(1000 + i, "c", 7, 0) for i in range(9)]
+    plan, _ = mixing.plan_mix(spark.createDataFrame(rows, SIZES), spark.createDataFrame([(1, "a", 1.0, None), (1, "b", 4.0, 5), (2, "a", 8.0, 2), (2, "b", 1.0, 1), (3, "c", 1.0, 1), (4, "a", 1.0, None), (4, "c", 3.0, None)], "mix_id int, source string, weight double, max_repeats int"))
+    signs = set()
+    for mix, source, tilt, scale, cap, share, budget in plan:
         t = np.array([r[2] for r in rows if r[1] == source], dtype=float)
-        x, goal = np.minimum(t / scale, 20.0), np.array([share * budget, len(t) * share * budget / t.sum()])
-        at = np.array([math.log(goal[1] / len(t)) + 0.05, -0.1])
-        for _ in range(50):  # plain 2x2 Newton on tokens and copies, from elsewhere
-            rate = np.exp(at[0] + at[1] * x)
-            gap = np.array([(t * rate).sum(), rate.sum()]) - goal
-            at = at - np.linalg.solve(np.array([[(t * rate).sum(), (t * x * rate).sum()], [rate.sum(), (x * rate).sum()]]), gap)
-        assert np.allclose(at, [base, tilt], atol=1e-9) and math.exp(base) <= cap
+        tokens = lambda x: (t * np.exp(np.minimum(math.log(cap), x * t / scale))).sum()  # noqa: E731, B023
+        if share * budget >= cap * t.sum() * (1 - 1e-9):
+            assert tilt == mixing.SATURATED
+            continue
+        low, high = -1e6, 1e6
+        for _ in range(200):
+            low, high = ((low + high) / 2, high) if tokens((low + high) / 2) < share * budget else (low, (low + high) / 2)
+        assert abs(tilt - low) < 1e-6 * max(1, abs(low)) and abs(tokens(tilt) / (share * budget) - 1) < 1e-8, (mix, source)
+        signs.add(tilt > 0)
+    assert signs == {True, False} and len(plan) == 7
 
 
 def test_copies_are_whole_and_close():
