@@ -38,3 +38,16 @@ def test_layout(code, found, canonical):
 
 def test_long_text_is_lexed_in_time():
     assert w.layout("x = '" + "a" * 500_000 + "'; " + "f(1);" * 50_000)[1] == 50_001
+
+
+def test_uniform_symbols_and_believed_headers(spark):
+    """Layout decides: uniform symbols without any mark are generated; a header is not believed of a file that is mostly laid-out code."""
+    modules = [("u/uniform.ts", "typescript", 90, "e1", None), ("u/hand.ts", "typescript", 90, "e2", "Generated leads. Counts those of a month."), ("u/bare.ts", "typescript", 900, "e3", "Generated from the model."), ("u/tiny.ts", "typescript", 8, "e4", "Tests the code generator.")]
+    one = "export function get{0}(x: string) {{\n  return call('{0}', x, {1});\n}}\n"
+    other = ["if (a) { b(); }\n", "for (;;) { c(); }\nd();\n", "return [1, 2];\n", "let x = 1;\nlet y = 2;\nz(x, y);\n", "while (a) b();\n", "switch (a) { case 1: b(); }\n", "try { a(); } catch (e) { b(); }\n", "a = b ? c : d;\n", "x.y.z();\n"]
+    symbols = [(f"u{i}", "u/uniform.ts", one.format(i, i * 7), 10 * i) for i in range(1, 10)] + [(f"h{i}", "u/hand.ts", f"function f{i}() {{\n{body}}}\n", 10 * i) for i, body in enumerate(other, 1)] + [("b1", "u/bare.ts", other[0], 20)]
+    t = tables(spark, modules, symbols, [], [(m[0], m[2] * 34) for m in modules])
+    assert reasons(*t) == {"u/uniform.ts": "generated", "u/bare.ts": "generated"}
+    off = list(t)
+    off[1] = t[1].withColumn("code", t[1]["code"].substr(1, 0))  # nothing lexed
+    assert reasons(*off) == {"u/hand.ts": "generated", "u/bare.ts": "generated"}
