@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratograph.operators.domains import domain_profile, heavy_domains
-from stratograph.operators.incremental import changed_files
-from stratograph.operators.references import live_nodes, orphan_counts, orphan_references, references
+from stratograph.operators.incremental import IntervalLedger, changed_files, pending_files
+from stratograph.operators.references import live_nodes, missing_keys, orphan_counts, orphan_references, reference_counts, referring_records
+from stratograph.session import cut, shared_dir
 from stratograph.sources.tables import table
 
 
@@ -19,21 +22,26 @@ def p3_domain_profile(spark: SparkSession, folder: str) -> DataFrame:
     return domain_profile(*(table(spark, folder, t) for t in ("module_nodes", "symbol_nodes", "call_specs", "documents")))
 
 
-def _orphans(spark: SparkSession, folder: str) -> DataFrame:
+def _missing(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(records, counts, missing): each is read more than once, so each is written once."""
     modules, classes, symbols, journal, routes = (table(spark, folder, t) for t in ("module_nodes", "class_nodes", "symbol_nodes", "node_journal", "route_endpoints"))
-    return orphan_references(references(symbols, routes), live_nodes(modules, classes, symbols, journal))
+    records = cut(referring_records(symbols, routes))
+    counts = cut(reference_counts(records))
+    return records, counts, cut(missing_keys(counts, live_nodes(modules, classes, symbols, journal)))
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
-    return _orphans(spark, folder)
+    records, _, missing = _missing(spark, folder)
+    return orphan_references(records, missing)
 
 
 def p4_orphan_counts(spark: SparkSession, folder: str) -> DataFrame:
-    return orphan_counts(_orphans(spark, folder))
+    _, counts, missing = _missing(spark, folder)
+    return orphan_counts(counts, missing)
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
-    return changed_files(table(spark, folder, "cache_states"), table(spark, folder, "cache_files")).select("run_id", "path")
+    return pending_files(table(spark, folder, "cache_states"), table(spark, folder, "cache_files")).select("run_id", "path")
 
 
 def p5_changes_per_run(spark: SparkSession, folder: str) -> DataFrame:
@@ -41,6 +49,27 @@ def p5_changes_per_run(spark: SparkSession, folder: str) -> DataFrame:
     return changes.groupBy("run_id").agg(F.count_if(F.col("change") == "added").alias("added"), F.count_if(F.col("change") == "modified").alias("modified"))
 
 
+def p5_ledger(spark: SparkSession, folder: str) -> DataFrame:
+    """The journal processed by four runs of the ledger, one of which fails: what its commits hold, with the commit each entry came by.
+
+    The first run sees the older half of the entries, the second sees two thirds, but dies; the third sees these as well, and
+    with them entries whose numbers lie between those of the first run; the last sees all.
+    """
+    journal = table(spark, folder, "node_journal").filter("seq IS NOT NULL").groupBy("seq").agg(F.min("node_id").alias("node_id"), F.min("op").alias("op"), F.min("recorded_at").alias("recorded_at"))
+    ledger = IntervalLedger(spark, f"{shared_dir(spark)}/ledgers/{uuid.uuid4().hex}", [], "seq")
+    part = F.pmod(F.xxhash64("seq"), F.lit(6))  # in what order entries arrive is made up; every entry arrives
+
+    def dies(df: DataFrame) -> DataFrame:
+        raise RuntimeError("the run is lost")
+
+    for seen, work in ((3, lambda df: df), (4, dies), (4, lambda df: df), (6, lambda df: df)):
+        try:
+            ledger.run(journal.filter(part < seen), work)
+        except RuntimeError:
+            pass
+    return ledger.output().select("seq", "node_id", "op")
+
+
 _LIVE = """
   entries AS (SELECT node_id, arg_max(op, seq) AS op FROM node_journal WHERE node_id IS NOT NULL GROUP BY node_id),
   nodes AS (SELECT id, NULL AS name FROM module_nodes UNION SELECT id, NULL FROM class_nodes
@@ -68,7 +97,7 @@ _CHANGES = """
     WHERE NOT EXISTS (SELECT 1 FROM listed o WHERE o.run_id = b.base AND o.path = l.path AND o.sha IS NOT DISTINCT FROM l.sha))
 """
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_domain_profile, p4_found, p4_orphan_counts, p5_found, p5_changes_per_run)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_domain_profile, p4_found, p4_orphan_counts, p5_found, p5_changes_per_run, p5_ledger)}
 
 ORACLES = {
     "p3_found": """
@@ -87,5 +116,6 @@ SELECT g.domain, g.modules, g.loc, g.symbols, g.calls, CAST(coalesce(d.n, 0) AS
     "p4_found": f"WITH {_LIVE} SELECT src_table, record_id, ref_field, ref_key, period FROM orphans",
     "p4_orphan_counts": f"WITH {_LIVE} SELECT src_table, ref_field, period, count(*) AS orphan_refs, count(DISTINCT ref_key) AS missing_keys FROM orphans GROUP BY ALL",
     "p5_found": f"WITH {_CHANGES} SELECT DISTINCT run_id, path FROM changes",
+    "p5_ledger": "SELECT seq, min(node_id) AS node_id, min(op) AS op FROM node_journal WHERE seq IS NOT NULL GROUP BY seq",
     "p5_changes_per_run": f"WITH {_CHANGES} SELECT run_id, count(*) FILTER (NOT known) AS added, count(*) FILTER (known) AS modified FROM changes GROUP BY run_id",
 }

@@ -73,3 +73,23 @@ def test_ledger_neither_skips_nor_repeats(spark, tmp_path):
     assert ledger.pending(df).count() == 0
     assert covered(map(tuple, ledger.processed().select("k", "lo", "hi").collect())) == {(k, s) for k, s, _ in source}
     assert ledger.run(df, lambda x: x) == 3 and ledger.output().agg(F.count("*")).first()[0] == len(source)
+
+
+def test_ledger_without_keys_late_numbers_and_compaction(spark, tmp_path):
+    ledger = IntervalLedger(spark, f"file://{tmp_path}/ledger", [], "seq", segment=10)
+    ledger.COMPACT = 2
+    seen, rng = [], random.Random(3)
+    order = list(range(95))
+    rng.shuffle(order)
+    for step in range(5):
+        seen += order[step * 19:(step + 1) * 19]
+        if step == 3:
+            ledger.BROADCAST_GAPS = 0  # many gaps: rows are joined by number
+        df = spark.createDataFrame([(x, f"v{x}") for x in seen] + [(seen[0], f"v{seen[0]}")], "seq long, v string")
+        ledger.run(df, lambda x: x.select("seq", "v"))
+        assert len(ledger.last()["ranges"]) <= 2 and ledger.pending(df).count() == 0
+    out = [r["seq"] for r in ledger.output().collect()]
+    assert sorted(set(out)) == sorted(seen) and len(out) == len(seen) + 1  # the row that came twice in the first run
+    assert [tuple(r) for r in ledger.processed().select("lo", "hi").collect()] == [(0, 94)]
+    (tmp_path / "ledger" / "data" / "lost").mkdir()
+    assert ledger.vacuum(0) >= 1 and not (tmp_path / "ledger" / "data" / "lost").exists() and sorted(r["seq"] for r in ledger.output().collect()) == sorted(out)

@@ -3,7 +3,7 @@ from collections import Counter, defaultdict
 from pyspark.sql import functions as F
 
 from stratograph.operators.domains import domain_counts, domain_profile, heavy_domains
-from stratograph.operators.references import live_nodes, orphan_counts, orphan_references, references
+from stratograph.operators.references import live_nodes, missing_keys, orphan_counts, orphan_references, reference_counts, referring_records
 from stratograph.operators.skew import heavy_keys, salted_aggregate, skew_join, with_salt
 
 MODULES = "id string, path string, domain string, loc int"
@@ -70,10 +70,13 @@ def test_orphans(spark):
     live = live_nodes(modules, classes, symbols, journal)
     assert {r["id"] for r in live.collect()} == {"m", "c:a", "s:a", "s:b", "s:d"}
     want = {("symbol_nodes", "s:b", "parent_id", "gone", "2025-03"), ("symbol_nodes", "s:b", "calls", "dead", "2025-03"), ("symbol_nodes", "s:b", "calls", "gone", "2025-03"), ("route_endpoints", "r:2", "handler_id", "s:zz", "2025-03")}
+    records = referring_records(symbols, routes)
+    counts = reference_counts(records)
     for share in (0.001, 0.3, 1.1):  # all keys hot, some, none: the same rows
-        got = orphan_references(references(symbols, routes), live, share)
-        assert sorted(map(tuple, got.collect())) == sorted(want)
-    counts = {(r["src_table"], r["ref_field"]): (r["orphan_refs"], r["missing_keys"]) for r in orphan_counts(got).collect()}
-    assert counts == {("symbol_nodes", "parent_id"): (1, 1), ("symbol_nodes", "calls"): (2, 2), ("route_endpoints", "handler_id"): (1, 1)}
-    none = symbols.limit(0)
-    assert orphan_references(references(none, routes.limit(0)), live_nodes(modules, classes, none, journal.limit(0))).count() == 0
+        for bound in (100, 0):  # missing keys broadcast, or hot ones only
+            missing = missing_keys(counts, live, share)
+            assert sorted(map(tuple, orphan_references(records, missing, bound).collect())) == sorted(want)
+    told = {(r["src_table"], r["ref_field"]): (r["orphan_refs"], r["missing_keys"]) for r in orphan_counts(counts, missing).collect()}
+    assert told == {("symbol_nodes", "parent_id"): (1, 1), ("symbol_nodes", "calls"): (2, 2), ("route_endpoints", "handler_id"): (1, 1)}
+    none = referring_records(symbols.limit(0), routes.limit(0))
+    assert orphan_references(none, missing_keys(reference_counts(none), live_nodes(modules, classes, symbols.limit(0), journal.limit(0)))).count() == 0
