@@ -71,6 +71,36 @@ _FILLER = frozenset(
     "a an the this that it its is are was be does do done did what which whose of for to in on by with and or nothing else just only simply here there says say name named names same as "
     "function functions func method methods class classes component symbol procedure routine member constructor callable helper utility implementation implements definition declaration code object "
     "new async static public private internal def fn fun void main method's function's called".split())
+#: Per language the words by which a text points elsewhere, promises or regrets itself, and the words that may stand
+#: with them; a sentence of these alone says nothing. (English is described by the expressions above.)
+_ELSEWHERE = {
+    "de": ("siehe vgl vergleiche oben unten dokumentieren dokumentiert folgt fehlt später geerbt vererbt nachgereicht nachgetragen ergänzen ergänzt ausstehend unbeschrieben platzhalter beschreiben undokumentiert",
+           "s a u noch zu zur zum wird werden muss soll ist sind nicht hier mehr weiter bitte ein eine einer der die das den dem des in im von vom aus und oder wie keine kein dokumentation doku beschreibung kommentar basisklasse oberklasse elternklasse "
+           "superklasse schnittstelle klasse methode funktion datei handbuch wiki hinzufügen einfügen schreiben automatisch erzeugt generiert vorhanden verfügbar für details einzelheiten diese dieser dieses todo"),
+    "fr": ("voir cf dessus dessous documenter documenté documentée compléter complété rédiger remplir venir hérité héritée manquant manquante reporter référer consulter consultez ajouter ajoutée ajouté",
+           "ci à a plus haut bas tard documentation doc description commentaire classe parente parent mère base interface méthode fonction fichier manuel wiki faire de du des la le les l d un une sera serait non pas encore aucun aucune généré générée automatiquement "
+           "se et ou en dans pour détails information informations même que comme est cette ce ultérieurement bientôt veuillez todo"),
+    "es": ("ver véase vease arriba abajo documentar documentado documentada pendiente completar completada heredado heredada falta faltante consulte consultar añadir añadirá agregar agregará escribir",
+           "más mas adelante documentación documentacion descripción descripcion comentario clase base padre superclase interfaz método metodo función funcion archivo manual wiki por hacer después tarde luego de del la el los las un una sin no hay generado generada "
+           "automáticamente igual que como se será sera en y o para detalles información esta este aún todavía la todo"),
+    "pt": ("ver veja vide acima abaixo documentar documentado documentada pendente completar completada herdado herdada falta faltante consulte consultar adicionar adicionada escrever preencher",
+           "mais adiante documentação descrição comentário classe base pai superclasse interface método função arquivo manual wiki por fazer depois tarde logo de da do das dos a o as os um uma sem não há gerado gerada automaticamente igual que como será em na no e ou "
+           "para detalhes informações esta este ainda todo"),
+    "nl": ("zie vgl hierboven hieronder boven onder documenteren gedocumenteerd volgt ontbreekt aanvullen aangevuld toevoegen toegevoegd geërfd overgeërfd overgenomen later raadpleeg beschrijven",
+           "nog te documentatie beschrijving commentaar basisklasse bovenliggende ouderklasse superklasse klasse interface methode functie bestand handleiding wiki wordt worden moet van de het een geen niet gegenereerd automatisch in op en of voor details meer informatie "
+           "hetzelfde als deze dit is todo"),
+    "ru": ("см смотри смотрите выше ниже позже документировать задокументировать документировано дописать дополнить дополнено заполнить описать унаследовано унаследован унаследована отсутствует добавлено добавлена добавить обратитесь",
+           "документация документацию документации документацией описание описания описанию комментарий базовый базовом базового базовый базовому родительский родительском родительского родителя родителе класс класса классе классу интерфейс интерфейса интерфейсе метод метода методе "
+           "функция функции файл файле руководство wiki вики будет будут не нет пока ещё еще от из в на к и или для как то же подробности подробнее сгенерировано автоматически нужно надо сделать это этот эта этого потом"),
+}
+_ELSEWHERE = {lang: (frozenset(a.split()), frozenset(a.split()) | frozenset(b.split())) for lang, (a, b) in _ELSEWHERE.items()}
+#: The same for languages that do not divide their words, as pieces of text.
+_PIECES_ELSEWHERE = (
+    "参见 参考 参阅 参照 请见 请看 查看 详见 见 请 上文 上面 上述 下文 下面 以上 以下 文档 文件 说明 描述 注释 父类 基类 超类 接口 类 方法 函数 稍后 以后 之后 日后 待 补充 补 添加 完善 暂无 暂 无 没有 尚未 还未 未 尚 编写 撰写 继承 自 同 的 中 自动 生成 将 会 由 更多 详情 详细 信息 该 此 这 是 在 "
+    "されます 上記 下記 同上 ドキュメント 文書 説明 コメント 親クラス 基底クラス スーパークラス 親 基底 クラス インターフェース インターフェイス メソッド 関数 後で 後ほど あとで 記述 記入 追加 予定 作成 書く 書き なし ありません まだ 継承 自動 詳細 詳しく については してください ください します される された する です ます である は を の に が で と も から 要 後日 追記 未 "
+    "참조 참고 위의 위 아래 문서화 문서 설명 주석 부모 상위 기본 기반 클래스 인터페이스 메서드 메소드 함수 나중에 나중 추후 추가 예정 작성 필요 없음 없습니다 없다 아직 미정 상속됨 상속 자동 자세한 내용 동일 하십시오 하세요 합니다 입니다 됩니다 바랍니다 해야 할 됨 된 한 을 를 은 는 이 가 의 에서 에 로 으로 와 과 함").split()
+_PIECES_ELSEWHERE = regex.compile("|".join(sorted(map(regex.escape, _PIECES_ELSEWHERE), key=lambda x: (-len(x), x))))
+_UNDIVIDED = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}ー]")
 _SENTENCE = regex.compile(r"(?<=[.!?。！？])\s+|\n")
 
 
@@ -84,6 +114,22 @@ def bare_comment(text: str) -> str:
     return _XML.sub(" ", "\n".join(lines)).strip()
 
 
+def only_points_elsewhere(sentence: str, known: frozenset[str] | set[str] = frozenset()) -> bool:
+    """Whether a sentence, in a language of those above, only says that documentation is elsewhere, will come or is missing.
+
+    A pointer may name one thing it points to. ``known``: further words that do not count.
+    """
+    words = [w.lower() for w in regex.findall(r"[\p{L}\p{M}]+", sentence)]
+    held = set(words)
+    for mark, all_of in _ELSEWHERE.values():
+        if held & mark and len([w for w in words if w not in all_of and w not in known]) <= (words[0] in mark):
+            return True
+    if _UNDIVIDED.search(sentence):
+        rest = _PIECES_ELSEWHERE.sub("", sentence)
+        return len(rest) < len(sentence) and not regex.search(r"[\p{Latin}\p{Cyrillic}]{2,}", rest) and len(_UNDIVIDED.findall(rest)) < 2
+    return False
+
+
 def says_something(doc: str | None, name: str | None) -> bool:
     """Whether a documentation text holds more than placeholders, tags, notices and the symbol's own name.
 
@@ -103,7 +149,7 @@ def says_something(doc: str | None, name: str | None) -> bool:
         sentence = regex.sub(r"^[@:\\](?:param|arg|type|returns?|rtype|raises?|throws?|brief|yields?)\b(?:\s+[$*&]?\w+)?\s*:?\s*", "", sentence)
         words = [w for w in _WORD.findall(sentence) if not w.isdigit()]
         left = [w for w in words if w.lower() not in own and w.lower() not in _FILLER]
-        if len(left) >= 2 or any(len(w) > 4 and regex.match(r"[\p{Lo}]", w) for w in left):
+        if (len(left) >= 2 or any(len(w) > 4 and regex.match(r"[\p{Lo}]", w) for w in left)) and not only_points_elsewhere(sentence, own):
             return True
     return False
 

@@ -16,6 +16,25 @@ def test_says_something(doc):
     assert d.says_something(doc, "A.loadUser")
 
 
+@pytest.mark.parametrize("doc", [
+    "Siehe oben.", "Noch zu dokumentieren", "Siehe die Dokumentation der Basisklasse.", "Beschreibung folgt später.", "Geerbt von der Oberklasse", "Keine Dokumentation vorhanden, wird nachgereicht.",
+    "voir la documentation", "à compléter plus tard", "Voir ci-dessus.", "Hérité de la classe parente.", "Description à venir", "Veuillez consulter la documentation de la classe mère.",
+    "ver la clase base", "Véase más arriba.", "Pendiente de documentar", "Documentación pendiente.", "Heredado de la clase padre", "Se añadirá más adelante",
+    "Veja a classe base.", "Documentação pendente", "Herdado da classe pai.", "Ver acima", "A documentação será adicionada depois.",
+    "Zie de documentatie.", "Nog te documenteren", "Beschrijving volgt later.", "Overgenomen van de bovenliggende klasse", "Zie hierboven",
+    "См. выше.", "Описание будет добавлено позже.", "Унаследовано от базового класса", "Смотрите документацию родительского класса", "Документация отсутствует",
+    "参见父类。", "文档待补充", "请参阅接口的说明。", "继承自基类", "暂无说明", "上記を参照してください。", "後で追加予定", "親クラスから継承されます。", "説明なし", "ドキュメントは後で作成します。", "위를 참조하세요.", "나중에 문서화 예정", "상위 클래스에서 상속됨", "설명 없음", "문서를 참고하십시오."])
+def test_says_nothing_in_any_language(doc):
+    assert not d.says_something(doc, "A.loadUser")
+
+
+@pytest.mark.parametrize("doc", [
+    "Siehe oben, liest aber zusätzlich den Zeitstempel.", "Ergänzt fehlende Einträge der Tabelle.", "Vor dem Speichern wird die Abfrage verglichen.", "Vérifie que la branche existe encore.", "Voir quels fichiers ont changé depuis hier.", "Ver quién está conectado ahora.",
+    "Añadir filas nuevas al índice.", "Adicionar linhas novas ao índice.", "Voegt ontbrekende regels toe aan de tabel.", "Добавить строки в таблицу индекса.", "Проверяет, что ветка ещё существует.", "从缓存读取最近的记录。", "保存する前にもう一度比較します。", "파일을 읽고 오래된 항목을 지웁니다.", "返回第一个空闲的连接。", "古い行を削除して件数を返します。"])
+def test_says_something_in_any_language(doc):
+    assert d.says_something(doc, "A.loadUser")
+
+
 @pytest.mark.parametrize("ext,code,doc", [
     ("py", '# above it\n@deco(1, ")")\nasync def f(a: str = ":") -> int:\n    r"""Inner text."""\n    return 1\n', "Inner text.\nabove it"), ("py", "# far\n\ndef f():\n    # within\n    return 'x'\n", ""), ("py", "def f(\n    a,\n):\n    # c\n    'one line'\n", "one line"),
     ("java", "/**\n * Doc here.\n */\n@Override(x = \"}\")\npublic void f() { a(\"}\"); /* } */ }\n", "Doc here."), ("java", "// far\n\npublic void f() { }", ""), ("go", "// One.\n// Two.\nfunc (s *S) F() error {\n\t// within\n}\n", "One.\nTwo."), ("rs", "/// Doc.\n#[inline]\npub fn f() -> i32 { 1 }\n", "Doc."),
