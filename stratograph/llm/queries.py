@@ -50,6 +50,11 @@ def p7_shared(spark: SparkSession, folder: str) -> DataFrame:
     return spans.shared_share(codes, spans.sharing(codes))
 
 
+def p7_classes(spark: SparkSession, folder: str) -> DataFrame:
+    codes = _codes(spark, folder)
+    return spans.sharing_classes(codes, spans.sharing(codes))
+
+
 def _sizes(spark: SparkSession, folder: str) -> DataFrame:
     """Token sizes, computed once per query: several passes read them."""
     return cut(tokens.token_sizes(table(spark, folder, "documents")))
@@ -85,6 +90,6 @@ def p10_segments(spark: SparkSession, folder: str) -> DataFrame:
     return language.segment_languages(table(spark, folder, "documents"), _model(spark, folder))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_reasons, p2_found, p2_pairs, p6_found, p6_masked, p7_found, p7_shared, p8_containers, p8_fill, p9_copies, p9_shares, p10_found, p10_segments)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_reasons, p2_found, p2_pairs, p6_found, p6_masked, p7_found, p7_shared, p7_classes, p8_containers, p8_fill, p9_copies, p9_shares, p10_found, p10_segments)}
 
 ORACLES: dict[str, str] = {}

@@ -28,13 +28,15 @@ UNIT = 80
 #: k-gram of the winnowing inside long lines; with windows of UNIT - GRAM + 1 grams it finds a start in any UNIT characters.
 GRAM = 40
 
-#: Share of records from which a window counts as hot, and rows below which none does; the share bounds their number.
-HOT_SHARE, HOT_ROWS = 0.01, 1000
-#: Rows up to which a set found by counting is broadcast; beyond, the same join is shuffled.
-BROADCAST_ROWS = 500_000
-
-UNIT_SCHEMA = "digest long, h long, pos int"
-WINDOW_SCHEMA = "digest binary, prev long, h long, pos int"
+#: Rows from which the windows of one digest, or the ends of one, are split over tasks.
+HOT_ROWS = 1000
+#: Rows of fixed size up to which a set found by counting is broadcast; beyond, the same join is shuffled.
+BROADCAST_ROWS = 200_000
+#: Tasks for windows, as a multiple of the usual number: they are several times as large as the texts they are taken from.
+WINDOW_TASKS = 4
+
+UNIT_SCHEMA = "digest long, h binary, pos int"
+WINDOW_SCHEMA = "digest binary, prev long, h binary, pos int"
 #: Digests that are counted in a task before their counts are handed on.
 COUNTED = 200_000
 
@@ -75,7 +77,7 @@ def _units(batches: Iterator[pd.DataFrame], length: int, unit: int) -> Iterator[
                     records.append(h)
                     places.append(p)
                     digests.append(_long(text[p:p + unit]))
-        yield pd.DataFrame({"digest": pd.Series(digests, dtype="int64"), "h": pd.Series(records, dtype="int64"), "pos": pd.Series(places, dtype="int32")})
+        yield pd.DataFrame({"digest": pd.Series(digests, dtype="int64"), "h": pd.Series(records, dtype="object"), "pos": pd.Series(places, dtype="int32")})
 
 
 def _places(starts: list, chars: int, length: int, unit: int) -> Iterator[tuple[int, bool]]:
@@ -101,7 +103,7 @@ def _windows(batches: Iterator[pd.DataFrame], length: int, unit: int) -> Iterato
                 rows.append((digest, before[1] if before and before[0] == p - 1 else None, h, p))
                 before = (p, int.from_bytes(digest[:8], "big", signed=True))
         frame = pd.DataFrame(rows, columns=["digest", "prev", "h", "pos"])
-        yield frame.astype({"prev": "Int64", "h": "int64", "pos": "int32"})
+        yield frame.astype({"prev": "Int64", "pos": "int32"})
 
 
 def _counts(batches: Iterator[pd.DataFrame], length: int, unit: int) -> Iterator[pd.DataFrame]:
@@ -116,9 +118,8 @@ def _counts(batches: Iterator[pd.DataFrame], length: int, unit: int) -> Iterator
     yield frame(counted)
 
 
-def _in(df: DataFrame, few: DataFrame, key: str | list[str], how: str, stored: bool = False) -> DataFrame:
-    """Join with a set that is broadcast if a count shows it small, and shuffled otherwise."""
-    few = few if stored else cut(few)
+def _in(df: DataFrame, few: DataFrame, key: str | list[str], how: str) -> DataFrame:
+    """Join with a stored set of rows of fixed size, broadcast if a count shows it small and shuffled otherwise."""
     return df.join(F.broadcast(few), key, how) if few.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df.join(few, key, how)
 
 
@@ -126,7 +127,7 @@ def _in(df: DataFrame, few: DataFrame, key: str | list[str], how: str, stored: b
 class Sharing:
     """What records share: ``members`` (h, id, keeper_id, chars, copies), ``windows`` (digest, prev, h, pos) and ``hot`` (digest).
 
-    Records of equal text are one class, ``h`` its number, so a text that a third of all records repeat is
+    Records of equal text are one class, ``h`` the 128-bit digest of its text, so a text that a third of all records repeat is
     looked at once. ``windows`` are those of ``length`` characters around units that stand in more than
     one class, not yet compared; ``hot`` are the digests of frequent ones.
     """
@@ -141,33 +142,34 @@ def sharing(records: DataFrame, length: int = LENGTH, unit: int = UNIT, hot_rows
     """Collect the windows of (id, text) records that may be shared.
 
     Repeated rows of an id count once; an id with several texts stands for all of them. Texts shorter than
-    ``length``, null texts and null ids take no part. Of each line only 20 bytes are moved: its digest,
-    the class and the place. A class is numbered by a 64-bit hash of its text.
+    ``length``, null texts and null ids take no part. Texts stay where they are read; of each line only its digest,
+    the class and the place are moved. Texts and windows are equal if their 128-bit digests are.
 
     Hot is a property of a window's digest, so equal windows are compared in one way. Counted are the windows
     whose unit is frequent: from the bound over the number of places a unit can have in a window. Of the
     windows of one digest, those with rarer units are fewer than the bound in all, so a digest of twice the
     bound or more is always found.
     """
-    texts = records.filter(F.col("id").isNotNull() & (F.char_length("text") >= length)).select("id", F.xxhash64("text").alias("h"), "text")
+    texts = records.filter(F.col("id").isNotNull() & (F.char_length("text") >= length)).select("id", F.unhex(F.md5("text")).alias("h"), "text")
     named = texts.select("id", "h", F.char_length("text").alias("chars")).distinct()
     classes = named.groupBy("h").agg(F.min("id").alias("keeper_id"), F.count("*").alias("copies"))
     members = cut(skew_join(named, classes, ["h"], "inner", ["id"]))
     # one text per class: those of the other members are left where they are
-    once = _in(texts, members.filter("id <> keeper_id").select("id", "h"), ["id", "h"], "left_anti").select("h", "text")
-    common = once.mapInPandas(lambda b: _units(b, length, unit), UNIT_SCHEMA).groupBy("digest").agg(F.min("h").alias("a"), F.max("h").alias("b"), F.count("*").alias("n")).filter("a <> b")
-    total = F.broadcast(classes.agg(F.greatest(F.lit(hot_rows), F.count("*") * HOT_SHARE).alias("_bound")))  # one row
-    common = common.join(total).select("digest", (F.col("n") * (length - unit + 1) >= F.col("_bound")).alias("near"))
-    hits = _in(once.mapInPandas(lambda b: _units(b, length, unit), UNIT_SCHEMA), common, "digest", "inner")
-    starts = cut(hits.groupBy("h").agg(F.collect_set(F.struct("pos", "near")).alias("starts")))  # as many as the text has lines, at most
-    windows = _in(once, starts, "h", "inner", stored=True).mapInPandas(lambda b: _windows(b, length, unit), WINDOW_SCHEMA)
-    near = _in(once, starts.filter(F.exists("starts", lambda s: s["near"])), "h", "inner", stored=True).mapInPandas(lambda b: _counts(b, length, unit), "digest binary, n long")
-    hot = cut(near.groupBy("digest").agg(F.sum("n").alias("n")).join(total).filter("n >= _bound").select("digest"))
+    once = _in(texts, cut(members.filter("id <> keeper_id").select("id", "h")), ["id", "h"], "left_anti").select("h", "text")
+    units = cut(once.mapInPandas(lambda b: _units(b, length, unit), UNIT_SCHEMA))
+    common = units.groupBy("digest").agg(F.min("h").alias("a"), F.max("h").alias("b"), F.count("*").alias("n")).filter("a <> b")
+    common = cut(common.select("digest", (F.col("n") * (length - unit + 1) >= F.lit(hot_rows)).alias("near")))
+    starts = _in(units, common, "digest", "inner").groupBy("h").agg(F.collect_set(F.struct("pos", "near")).alias("starts"))  # as many as the text has lines, at most
+    starts = cut(starts)
+    # the sizes of these rows are not bounded, so how they are joined is left to the engine
+    windows = once.join(starts, "h").mapInPandas(lambda b: _windows(b, length, unit), WINDOW_SCHEMA)
+    near = once.join(starts.filter(F.exists("starts", lambda s: s["near"])), "h").mapInPandas(lambda b: _counts(b, length, unit), "digest binary, n long")
+    hot = cut(near.groupBy("digest").agg(F.sum("n").alias("n")).filter(F.col("n") >= hot_rows).select("digest"))
     return Sharing(members, windows, hot, length)
 
 
 def _compared(found: Sharing) -> DataFrame:
-    """Windows that stand in more than one class, with first (smallest keeper is found elsewhere), new: whether their holders may be new.
+    """Windows that stand in more than one class, with new: whether their holders may be new.
 
     ``new`` is false if all holders have the same window one character before: then all their pairs are
     pairs of that one. Windows that are not hot meet in one task per digest, which is few rows; for hot
@@ -178,33 +180,54 @@ def _compared(found: Sharing) -> DataFrame:
 
     columns = ["digest", "h", "pos", "shared", "new"]
     few = found.hot.limit(BROADCAST_ROWS + 1).count()
-    cold = _in(found.windows, found.hot, "digest", "left_anti", stored=True) if few else found.windows
+    tasks = WINDOW_TASKS * int(found.hot.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cold = _in(found.windows, found.hot, "digest", "left_anti") if few else found.windows
     per_digest = Window.partitionBy("digest")
-    told = cold.withColumns(facts(lambda c: c.over(per_digest))).select(*columns)
+    told = cold.repartition(tasks, "digest").withColumns(facts(lambda c: c.over(per_digest))).select(*columns)
     if few:
-        hot = _in(found.windows, found.hot, "digest", "left_semi", stored=True)
+        hot = _in(found.windows, found.hot, "digest", "left_semi")
         stats = hot.groupBy("digest").agg(*[c.alias(n) for n, c in facts(lambda c: c).items()])
         hot = hot.join(F.broadcast(stats), "digest") if few <= BROADCAST_ROWS else skew_join(hot, stats, ["digest"], "inner", ["h", "pos"])
         told = told.unionByName(hot.select(*columns))
     return told.filter("shared").drop("shared")
 
 
-def sharing_pairs(found: Sharing) -> DataFrame:
-    """(id_a, id_b), id_a < id_b: all pairs of records that share a span.
+def class_pairs(found: Sharing) -> DataFrame:
+    """(p, q), p < q: classes of different texts that share a span.
 
-    Pairs of classes come from windows whose holders may be new, so what is joined grows with the number of
-    shared spans, not with their length, and every row joined is a pair of the result. Members of
-    one class share all of their text.
+    Pairs come from windows whose holders may be new, so what is joined grows with the number of
+    shared spans, not with their length, and every row joined is a pair of the result. The holders of a frequent window are
+    split over tasks.
     """
-    ends = _compared(found).filter("new").select("digest", "h").distinct()
-    pairs = ends.select("digest", F.col("h").alias("p")).join(ends.select("digest", F.col("h").alias("q")), "digest").filter("p < q").select("p", "q").distinct()
+    ends = cut(_compared(found).filter("new").select("digest", "h").distinct())
+    pairs = skew_join(ends.select("digest", F.col("h").alias("p")), ends.select("digest", F.col("h").alias("q")), ["digest"], "inner", ["p"])
+    return pairs.filter("p < q").select("p", "q").distinct()
+
+
+def sharing_pairs(found: Sharing) -> DataFrame:
+    """(id_a, id_b), id_a < id_b: all pairs of records that share a span. Members of one class share all of their text."""
     of = found.members.select("h", "id")
-    pairs = pairs.join(of.select(F.col("h").alias("p"), F.col("id").alias("x")), "p").join(of.select(F.col("h").alias("q"), F.col("id").alias("y")), "q").select("x", "y")
+    with_p = skew_join(of.select(F.col("h").alias("p"), F.col("id").alias("x")), class_pairs(found), ["p"], "inner", ["x"])
+    pairs = skew_join(of.select(F.col("h").alias("q"), F.col("id").alias("y")), with_p, ["q"], "inner", ["y"]).select("x", "y")
     same = found.members.filter("copies > 1").select("h", "id")
-    within = same.select("h", F.col("id").alias("x")).join(same.select("h", F.col("id").alias("y")), "h").filter("x < y").select("x", "y")
+    within = skew_join(same.select("h", F.col("id").alias("x")), same.select("h", F.col("id").alias("y")), ["h"], "inner", ["x"]).filter("x < y").select("x", "y")
     return pairs.filter("x <> y").unionByName(within).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
 
 
+def sharing_classes(records: DataFrame, found: Sharing) -> DataFrame:
+    """(id, class_id, copies, links): one row per record and text: its class, named by the smallest member, the members of that, and the
+    other classes that share a span with it.
+
+    Together with :func:`class_pairs` this says all that :func:`sharing_pairs` does without forming pairs of copies. Records without a text
+    of ``length`` characters have a null class and no links.
+    """
+    pairs = class_pairs(found)
+    links = pairs.select(F.col("p").alias("h")).unionByName(pairs.select(F.col("q").alias("h"))).groupBy("h").agg(F.count("*").alias("links"))
+    told = skew_join(found.members.select("id", "h", "keeper_id", "copies"), links, ["h"], "left", ["id"])
+    base = records.filter("id IS NOT NULL").select("id").distinct()
+    return base.join(told, "id", "left").select("id", F.col("keeper_id").alias("class_id"), F.coalesce("copies", F.lit(0)).alias("copies"), F.coalesce("links", F.lit(0)).alias("links"))
+
+
 def shared_share(records: DataFrame, found: Sharing) -> DataFrame:
     """Per record: its characters, how many lie in shared spans, the spans, and how many are repeats.
 

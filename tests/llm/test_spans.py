@@ -49,14 +49,20 @@ def test_against_brute_force(spark, seed, monkeypatch):
     pairs, shared = brute(texts, spans.LENGTH)
     if seed == 3:  # every unit hot, every set too large to broadcast: the other ways give the same
         monkeypatch.setattr(spans, "BROADCAST_ROWS", 0)
-        monkeypatch.setattr(spans, "HOT_SHARE", 0.0)
     rows = [(i, t, "x") for i, t in texts.items()] * 2 + [(None, texts["r01"], "x"), ("r99", None, "x"), ("r98", "", "x")]
     df = spark.createDataFrame(rows, "id string, text string, digest string")
-    found = spans.sharing(df)
+    found = spans.sharing(df, hot_rows=1 if seed == 3 else spans.HOT_ROWS)
     assert {(r["id_a"], r["id_b"]) for r in spans.sharing_pairs(found).collect()} == pairs and len(pairs) > 20
     told = {r["id"]: r for r in spans.shared_share(df, found).collect()}
     assert {i: (told[i]["shared_chars"], told[i]["removable_chars"]) for i in texts} == shared
     assert told["r99"]["chars"] is None and told["r98"]["shared_chars"] == 0
+    classes = {r["id"]: r for r in spans.sharing_classes(df, found).collect()}
+    first = {t: min(i for i in texts if texts[i] == t) for t in texts.values()}
+    for i, t in texts.items():
+        if len(t) >= spans.LENGTH:
+            others = {first[texts[b if a == i else a]] for a, b in pairs if i in (a, b)} - {first[t]}
+            assert (classes[i]["class_id"], classes[i]["copies"], classes[i]["links"]) == (first[t], sum(x == t for x in texts.values()), len(others))
+    assert classes["r99"]["class_id"] is None and classes["r92"]["links"] == 0 and len(classes) == len(texts) + 2
     assert spans.sharing_pairs(spans.sharing(df.limit(0))).count() == 0
 
 
