@@ -62,6 +62,8 @@ class Graph:
 
     nodes: DataFrame
     edges: DataFrame
+    #: Folder of the stored search index of exactly these nodes; '' where there is none.
+    index: str = ""
 
     # ---- building ------------------------------------------------------------------------------
     @classmethod
@@ -96,12 +98,14 @@ class Graph:
             graph = cls.from_tables(spark, folder)
             # one pass over the tables: edges are resolved from the nodes as stored
             graph.nodes.write.partitionBy("level").parquet(f"{made}/nodes")
-            from stratograph.operators import resolve
+            from stratograph.operators import resolve, search
 
-            resolve.table_edges(cls._stored_nodes(spark, made)).write.partitionBy("edge_type").parquet(f"{made}/edges")
+            stored = cls._stored_nodes(spark, made)
+            resolve.table_edges(stored).write.partitionBy("edge_type").parquet(f"{made}/edges")
+            search.store_index(cls(stored, stored), f"{made}/index")
             if not fs.rename(path(made), path(root)) or not fs.exists(path(f"{root}/nodes")):
                 fs.delete(path(made), True)  # another run was faster
-        return cls(cls._stored_nodes(spark, root), spark.read.schema(EDGE_SCHEMA).parquet(f"{root}/edges"))
+        return cls(cls._stored_nodes(spark, root), spark.read.schema(EDGE_SCHEMA).parquet(f"{root}/edges"), f"{root}/index")
 
     @staticmethod
     def _stored_nodes(spark: SparkSession, root: str) -> DataFrame:
@@ -212,11 +216,11 @@ def _files(spark: SparkSession, at: str):
 
 def _state(spark: SparkSession, folder: str) -> str:
     """Fingerprint of the files of the node tables."""
-    from stratograph.operators import resolve, skew
+    from stratograph.operators import resolve, search, skew
     from stratograph.sources import tables
 
     # a graph stored by other code is another graph
-    seen = [hashlib.sha256(Path(m).read_bytes()).hexdigest() for m in (__file__, resolve.__file__, skew.__file__, tables.__file__)]
+    seen = [hashlib.sha256(Path(m).read_bytes()).hexdigest() for m in (__file__, resolve.__file__, search.__file__, skew.__file__, tables.__file__)]
     for t in _TABLES:
         at = f"{folder.rstrip('/')}/{t}.parquet"
         fs, path = _files(spark, at)

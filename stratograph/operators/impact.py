@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratograph.functions.paths import is_test_file
-from stratograph.graph import CALLS, CONTAINS, IMPORTS, REFERENCES, Graph
-from stratograph.operators.traverse import reverse_hops
+from stratograph.graph import CALLS, IMPORTS, REFERENCES, Graph
+from stratograph.operators.traverse import union_of
 from stratograph.session import cut
 
 DEFAULT_HOPS, MAX_HOPS = 3, 8
@@ -55,18 +55,17 @@ def affected(graph: Graph, changed: DataFrame, max_hops: int = DEFAULT_HOPS, sco
     keeps one kind.
     """
     hops = DEFAULT_HOPS if max_hops <= 0 else min(max_hops, MAX_HOPS)
-    e = cut(graph.edges.filter(F.col("edge_type").isin(CALLS, IMPORTS, REFERENCES)).select("src", "dst").distinct())
+    e = graph.edges.filter(F.col("edge_type").isin(CALLS, IMPORTS, REFERENCES)).select("src", "dst")
     known = graph.nodes.select(F.col("id").alias("src"))
-    seen = cut(changed.select("id", F.col("name").alias("origin")).distinct().groupBy("id").agg(F.min("origin").alias("origin")).withColumn("distance", F.lit(0)))
-    frontier = seen
+    seen = [cut(changed.select("id", F.col("name").alias("origin")).distinct().groupBy("id").agg(F.min("origin").alias("origin")).withColumn("distance", F.lit(0)))]
     for hop in range(1, hops + 1):
-        new = frontier.select(F.col("id").alias("dst"), "origin").join(e, "dst").join(known, "src", "left_semi").select(F.col("src").alias("id"), "origin")
-        new = new.join(seen.select("id"), "id", "left_anti").groupBy("id").agg(F.min("origin").alias("origin")).withColumn("distance", F.lit(hop))
-        frontier = cut(new)
-        if not frontier.head(1):
+        new = seen[-1].select(F.col("id").alias("dst"), "origin").join(e, "dst").select(F.col("src").alias("id"), "origin")
+        new = new.join(union_of([h.select("id") for h in seen]), "id", "left_anti").groupBy("id").agg(F.min("origin").alias("origin"))
+        new = cut(new.join(known.withColumnRenamed("src", "id"), "id", "left_semi").withColumn("distance", F.lit(hop)))
+        if not new.head(1):
             break
-        seen = cut(seen.unionByName(frontier))
-    rows = graph.nodes.join(seen.filter("distance > 0"), "id")
+        seen.append(new)
+    rows = graph.nodes.join(union_of(seen).filter("distance > 0"), "id")
     path = F.when(F.col("file_path") == "", F.col("path")).otherwise(F.col("file_path"))
     out = rows.select("id", "name", path.alias("file_path"), "kind", "distance", F.col("origin").alias("target_symbol")).withColumn("is_test", is_test_file(F.col("file_path")))
     return {"tests": out.filter("is_test"), "symbols": out.filter("NOT is_test")}.get(scope, out)

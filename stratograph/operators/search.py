@@ -101,10 +101,40 @@ def score_texts(texts: DataFrame, question: str) -> DataFrame:
     return scores(postings, hits.select("id", "len"), question, totals)
 
 
-def search(graph: Graph, question: str, level: str = "", limit: int = DEFAULT_LIMIT) -> DataFrame:
-    """Best nodes for a question: the best ``2 * limit`` of all, of these the wanted level, of these ``limit``."""
+def store_index(graph: Graph, at: str) -> None:
+    """Write the postings (term, id, tf, len) of all nodes in order of their terms, and the totals, below a folder.
+
+    Every file holds a range of terms and says which, so a question opens only files its words can be in.
+    """
+    words = cut(node_texts(graph).filter("id IS NOT NULL").select("id", tokens(F.col("text")).alias("w")).filter("size(w) > 0"))
+    words.agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("mean")).coalesce(1).write.parquet(f"{at}/totals")
+    postings = words.select("id", F.size("w").cast("long").alias("len"), F.explode("w").alias("term")).groupBy("term", "id", "len").agg(F.count("*").alias("tf"))
+    postings.repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.parquet(f"{at}/postings")
+
+
+def score_stored(spark, at: str, question: str) -> DataFrame:
+    """:func:`scores` over a stored index: one scan that asks the files for the words of the question and what they begin."""
+    asked = question_words(question)
+    if not asked:
+        return spark.createDataFrame([], "id string, score double")
+    postings = spark.read.schema("term string, id string, len long, tf long").parquet(f"{at}/postings")
+    hits = cut(postings.filter(reduce(lambda a, b: a | b, [F.startswith("term", F.lit(q)) for q in asked])))  # few next to the index, and read several times
+    totals = spark.read.schema("n long, mean double").parquet(f"{at}/totals")
+    return scores(hits.select("term", "id", "tf"), hits.select("id", "len").distinct(), question, totals)
+
+
+def search(graph: Graph, question: str, level: str = "", limit: int = DEFAULT_LIMIT, fuzzy: bool = False) -> DataFrame:
+    """Best nodes for a question: the best ``2 * limit`` of all, of these the wanted level, of these ``limit``.
+
+    Graphs with a stored index answer from it, others from their texts. ``fuzzy``: words that neither stand in a text nor begin
+    a word of one are replaced by the terms one edit away.
+    """
     limit = limit if limit > 0 else DEFAULT_LIMIT
-    best = score_texts(node_texts(graph), question).filter("score > 0").orderBy(F.desc("score"), "id").limit(2 * limit)
+    spark = graph.nodes.sparkSession
+    score = (lambda q: score_stored(spark, graph.index, q)) if graph.index else (lambda q: score_texts(node_texts(graph), q))
+    if fuzzy:
+        question = _corrected(graph, question)
+    best = score(question).filter("score > 0").orderBy(F.desc("score"), "id").limit(2 * limit)
     path = F.when(F.col("file_path") == "", F.col("path")).otherwise(F.col("file_path"))
     rows = graph.nodes.join(F.broadcast(best), "id")  # at most 2 * limit rows
     if level:
@@ -114,6 +144,16 @@ def search(graph: Graph, question: str, level: str = "", limit: int = DEFAULT_LI
     return rows.orderBy(F.desc("score"), "id").limit(limit).select("id", "level", name.alias("name"), path.alias("file_path"), "signature", doc.alias("docstring"), "score")
 
 
+def _corrected(graph: Graph, question: str) -> str:
+    """The question with each word that no term begins with replaced by the nearest terms, if there are any."""
+    postings = graph.nodes.sparkSession.read.parquet(f"{graph.index}/postings") if graph.index else index(node_texts(graph))[0]
+    out = []
+    for word in re.findall(r"[a-zA-Z0-9_]+", question):
+        known = postings.filter(F.startswith("term", F.lit(word.lower()))).head(1)
+        out += [word] if known else [r["term"] for r in fuzzy_terms(postings, word, 3).collect()] or [word]
+    return " ".join(out)
+
+
 def fuzzy_terms(postings: DataFrame, word: str, limit: int = 50) -> DataFrame:
     """(term, distance, df): terms of at least three letters at most one edit away, the most frequent first."""
     df = postings.groupBy("term").agg(F.count("*").alias("df"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,7 +17,7 @@ CHANGE_WEIGHT = {"signature": 2.0, "removal": 2.5, "rename": 2.0, "body": 1.0}
 
 def resolve_target(graph: Graph, target: str, through_classes: bool = False) -> DataFrame:
     """Node ids meant by a target: an exact id; else a file, which stands for its direct symbols (those of its classes too,
-    if asked for) or itself if it has none; else all nodes of that full or short name. The first that gives any counts."""
+    if asked for) or itself if it has none; else all nodes of that full or short name; else the routes of that path, or method and path. The first that gives any counts."""
     nodes = graph.nodes.select("id", "level", "name", "path", "file_path")
     exact = nodes.filter((F.col("id") == target) & (F.col("level") != "L1")).select("id")
     file = nodes.filter((F.col("level") == "L1") & ((F.col("path") == target) | (F.col("id") == target))).select("id")
@@ -25,7 +27,9 @@ def resolve_target(graph: Graph, target: str, through_classes: bool = False) ->
         inside = inside.unionByName(deeper)
     symbols = inside.join(nodes.filter("level = 'L3'").select("id"), "id", "left_semi")
     named = nodes.filter((F.col("name") == target) | F.endswith(F.col("name"), F.lit("." + target))).select("id")
-    ranked = [exact, symbols, file, named]
+    # a route by its path, or by method and path
+    routes = graph.nodes.filter("level = 'Route'").filter((F.col("path") == target) | (F.concat_ws(" ", "method", "path") == target)).select("id")
+    ranked = [exact, symbols, file, named, routes]
     out = ranked[0].withColumn("_rank", F.lit(0))
     for i, df in enumerate(ranked[1:], 1):
         out = out.unionByName(df.withColumn("_rank", F.lit(i)))
@@ -42,28 +46,34 @@ def reverse_hops(edges: DataFrame, targets: DataFrame, max_hops: int, cap: int =
     are expanded further (others are reached but lead nowhere). One join and one anti-join a hop.
     """
     e = edges.select("src", "dst", "edge_type")
-    seen = cut(targets.select("id").distinct().select("id", F.lit(0).alias("hop"), F.lit("").alias("edge_type"), F.lit("").alias("parent")))
-    frontier, total = seen, seen.count()
+    hops = [cut(targets.select("id").distinct().select("id", F.lit(0).alias("hop"), F.lit("").alias("edge_type"), F.lit("").alias("parent")))]
+    total = hops[0].count() if cap else 0
     for hop in range(1, max_hops + 1):
         if cap and total >= cap:
             break
-        start = frontier.select(F.col("id").alias("dst"))
+        start = hops[-1].select(F.col("id").alias("dst"))
         if known is not None:
             start = start.join(known.select(F.col("id").alias("dst")), "dst", "left_semi")
         hits = start.join(e, "dst").select(F.col("src").alias("id"), F.struct(F.col("dst").alias("parent"), "edge_type").alias("by"))
-        new = hits.join(seen.select("id"), "id", "left_anti").groupBy("id").agg(F.min("by").alias("by")).select("id", F.lit(hop).alias("hop"), "by.edge_type", "by.parent")
+        # every hop is written once; what was seen is the union of the hops as written
+        new = hits.join(union_of([h.select("id") for h in hops]), "id", "left_anti").groupBy("id").agg(F.min("by").alias("by")).select("id", F.lit(hop).alias("hop"), "by.edge_type", "by.parent")
         if cap:
-            # parents are expanded in the order of their ids: a parent whose predecessors already filled the cap is not
-            per_parent = new.groupBy("parent").agg(F.count("*").alias("n"))
-            room = per_parent.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("parent").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))) if per_parent.limit(cap + 1).count() <= cap else \
-                per_parent.orderBy("parent").limit(cap).withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("parent").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # every parent brings a node: beyond cap parents none has room
+            # parents are expanded in the order of their ids: a parent whose predecessors already filled the cap is not; every parent
+            # brings a node, so beyond cap parents none has room
+            per_parent = new.groupBy("parent").agg(F.count("*").alias("n")).orderBy("parent").limit(cap)
+            room = per_parent.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("parent").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # at most cap rows
             new = new.join(F.broadcast(room.filter(F.col("before") < cap - total).select("parent")), "parent", "left_semi").select("id", "hop", "edge_type", "parent")  # at most cap rows
         new = cut(new)
-        n = new.count()
+        n = new.count() if cap else len(new.head(1))
         if not n:
             break
-        seen, frontier, total = cut(seen.unionByName(new)), new, total + n
-    return seen
+        hops.append(new)
+        total += n
+    return union_of(hops)
+
+
+def union_of(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
 
 
 def blast_radius(graph: Graph, targets: DataFrame, change: str = "signature", max_hops: int = MAX_HOPS, cap: int = NODE_CAP) -> DataFrame:
@@ -81,6 +91,7 @@ def blast_radius(graph: Graph, targets: DataFrame, change: str = "signature", ma
     of_targets = place.join(targets.select("id").distinct(), "id", "left_semi")
     public = of_targets.agg(F.coalesce(F.max("is_public"), F.lit(False)).alias("_public"))
     home = of_targets.select(F.col("domain").alias("_home")).distinct()
+    # places are those of the nodes hit, so a domain that holds most files is as large here as the answer
     rows = place.join(hit, "id").join(home, F.col("domain") == F.col("_home"), "left").join(F.broadcast(public))  # one row
     cross = F.when((F.col("domain") != "root") & F.col("_home").isNull(), F.lit(1.5)).otherwise(F.lit(1.0))
     score = F.lit(10.0) * F.pow(F.lit(0.5), F.col("hop") - 1) * F.when(F.col("_public"), F.lit(1.8)).otherwise(F.lit(1.0)) * F.lit(CHANGE_WEIGHT.get(change, 1.5)) * cross
@@ -91,6 +102,20 @@ def top_impact(radius: DataFrame, limit: int = 10) -> DataFrame:
     return radius.orderBy(F.desc("impact_score"), "hop_distance", "node_id").limit(limit)
 
 
+def truncated(found: DataFrame, cap: int, targets: int = 1) -> DataFrame:
+    """One row: whether a traversal was ended by its cap; ``targets`` count towards the cap of a blast radius, give 0 for trees and paths."""
+    return found.agg((F.count("*") + F.lit(targets) >= F.lit(cap if cap else 2**62)).alias("truncated"))
+
+
+def trace_metrics(tree: DataFrame, paths: DataFrame | None = None, cap: int = TREE_CAP) -> DataFrame:
+    """One row: nodes and edges of a call tree, its depth, nodes that are entered but not left, paths found and the length of the shortest, and whether the cap ended it."""
+    ends = tree.select(F.col("to_id").alias("id")).distinct().join(tree.select(F.col("from_id").alias("id")).distinct(), "id", "left_anti").agg(F.count("*").alias("leaves"))
+    nodes = tree.select(F.explode(F.array("from_id", "to_id")).alias("id")).agg(F.count_distinct("id").alias("nodes"))
+    row = tree.agg(F.count("*").alias("edges"), F.coalesce(F.max("depth"), F.lit(0)).alias("max_depth"), (F.count("*") >= F.lit(cap if cap else 2**62)).alias("truncated"))
+    found = tree.sparkSession.range(1).select(F.lit(0).cast("long").alias("paths"), F.lit(0).alias("shortest")) if paths is None else paths.agg(F.count("*").alias("paths"), F.coalesce(F.min("hops"), F.lit(0)).alias("shortest"))
+    return row.join(F.broadcast(nodes)).join(F.broadcast(ends)).join(F.broadcast(found)).select("nodes", "edges", "leaves", "max_depth", "paths", "shortest", "truncated")  # one row each
+
+
 def blast_summary(radius: DataFrame) -> DataFrame:
     """One row: score, tier, symbols, files, domains."""
     agg = radius.agg(F.least(F.lit(100), F.floor(F.coalesce(F.sum("impact_score"), F.lit(0.0)) * 1.5)).cast("long").alias("blast_score"), F.count("*").alias("total_affected_symbols"),
