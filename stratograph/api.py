@@ -21,13 +21,15 @@ class Engine:
     def __init__(self, spark: SparkSession, graph: Graph | None = None, workspace: Workspace | None = None, adrs: DataFrame | None = None):
         if graph is None and workspace is None:
             raise ValueError("a graph or a workspace is needed")
-        self.spark, self.workspace, self._graph = spark, workspace, graph
+        self.spark, self.workspace, self._graph, self._given, self._version = spark, workspace, graph, graph is not None, None
         self.adrs = records.empty(spark) if adrs is None else adrs
 
     @property
     def graph(self) -> Graph:
-        if self._graph is None:
+        """The graph given, or that of the workspace: read anew when another sync has put a newer version in force."""
+        if not self._given and (self._graph is None or self.workspace.version() != self._version):
             self._graph = self.workspace.graph()
+            self._version = self.workspace.version()
         return self._graph
 
     # ---- upkeep --------------------------------------------------------------------------------
@@ -35,7 +37,7 @@ class Engine:
         if self.workspace is None:
             raise ValueError("a graph without a workspace has nothing to sync with")
         stats = self.workspace.sync(force)
-        self._graph = None
+        self._graph, self._given = None, False
         return stats
 
     def get_index_status(self) -> dict:
@@ -63,9 +65,10 @@ class Engine:
         return query.query(self.graph, query.NodeQuery(**filters))
 
     # ---- architecture --------------------------------------------------------------------------
-    def check_layer_violation(self, file: str = "", rules: list[dict] | None = None, rules_file: str | None = None, max_cycle: int = 4) -> dict[str, DataFrame]:
+    def check_layer_violation(self, file: str = "", rules: list[dict] | None = None, rules_file: str | None = None, max_cycle: int = 0) -> dict[str, DataFrame]:
         """Rules given here go before those of a file, those before the defaults. Scoped to a file: its imports, its cycles, its coupling."""
         loaded = audit.load_rules(rules_file)
+        file = audit.normalized_path(file.removeprefix("file:"), self.workspace.root if self.workspace else "") if file else ""
         used = rules or loaded["rules"]
         coupled = audit.coupling(self.graph).filter(F.col("path") == file) if file else audit.most_coupled(self.graph)
         out = {"violations": audit.layer_violations(self.graph, used, only=file or None), "coupling": coupled, "verdict": audit.verdict(self.graph, used, loaded["allow_cycles"])}
@@ -74,8 +77,14 @@ class Engine:
         return out
 
     def estimate_blast_radius(self, target: str, change: str = "signature", max_hops: int = traverse.MAX_HOPS) -> dict[str, DataFrame]:
-        radius = cut(traverse.blast_radius(self.graph, cut(traverse.resolve_target(self.graph, target)), change, max_hops))
-        return {"top": traverse.top_impact(radius), "all": radius, "summary": traverse.blast_summary(radius)}
+        goals = cut(traverse.resolve_target(self.graph, target))
+        radius = cut(traverse.blast_radius(self.graph, goals, change, max_hops))
+        return {"top": traverse.top_impact(radius), "all": radius, "summary": traverse.blast_summary(radius), "truncated": traverse.truncated(radius, traverse.NODE_CAP, goals.count())}
+
+    def trace_metrics(self, source: str, target: str = "", direction: str = "outbound", max_depth: int = traverse.TREE_DEPTH) -> DataFrame:
+        """Size, depth, ends and paths of what :meth:`trace_call_path` gives, and whether a cap ended it."""
+        tree = cut(self.trace_call_path(source, "", direction, max_depth))
+        return traverse.trace_metrics(tree, cut(self.trace_call_path(source, target, direction, max_depth)) if target else None)
 
     def trace_call_path(self, source: str, target: str = "", direction: str = "outbound", max_depth: int = traverse.TREE_DEPTH) -> DataFrame:
         """The call tree of a source, or all simple paths from it to a target."""

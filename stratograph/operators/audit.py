@@ -171,30 +171,52 @@ def components(edges: DataFrame, in_one_task: int = ONE_TASK_EDGES) -> DataFrame
     return done.withColumn("_n", size).filter("_n > 1").select("id", "component")
 
 
-def simple_cycles(edges: DataFrame, max_length: int = 4, limit: int = MAX_CYCLES, through: str | None = None) -> DataFrame:
-    """(cycle_length, chain): simple cycles of at most ``max_length`` nodes, each once, from its smallest member on.
+def simple_cycles(edges: DataFrame, max_length: int = 0, limit: int = MAX_CYCLES, through: str | None = None) -> DataFrame:
+    """(cycle_length, chain): simple cycles of any length, each once, from its smallest member on.
 
-    Only edges within one strongly connected component take part. The first ``limit`` by chain are
-    reported, 0 for all; ``through`` then keeps those with that node, after the cap. Paths grow by
-    one join a step from their smallest node and only through larger ones.
+    Only edges within one strongly connected component take part. Paths grow by one join a step from their smallest node, only through
+    larger ones that still can get back to it, so cycles come out by length. The first ``limit`` by length and chain are
+    reported, 0 for all; once so many are found, longer ones are not looked for. ``max_length``: nodes of the longest cycle wanted, 0
+    for no bound. ``through`` then keeps those with that node, after the cap.
     """
     comp = components(edges)
     e = edges.select("src", "dst").filter("src <> dst").distinct()
-    e = e.join(comp.withColumnRenamed("id", "src").withColumnRenamed("component", "a"), "src").join(comp.withColumnRenamed("id", "dst").withColumnRenamed("component", "b"), "dst").filter("a = b").select("src", "dst")
-    e = cut(e)
-    paths = e.filter("src < dst").select(F.col("src").alias("start"), F.col("dst").alias("at"), F.array("src", "dst").alias("path"))
-    found = None
-    for length in range(2, max_length + 1):
-        closed = paths.join(e.select(F.col("src").alias("at"), F.col("dst").alias("start")), ["at", "start"], "left_semi").select(F.lit(length).alias("cycle_length"), F.array_join(F.concat("path", F.array("start")), " -> ").alias("chain"))
+    e = cut(e.join(comp.withColumnRenamed("id", "src").withColumnRenamed("component", "a"), "src").join(comp.withColumnRenamed("id", "dst").withColumnRenamed("component", "b"), "dst").filter("a = b").select("src", "dst"))
+    paths = cut(e.filter("src < dst").select(F.col("src").alias("start"), F.col("dst").alias("at"), F.array("src", "dst").alias("path")))
+    back, step = e.select(F.col("src").alias("at"), F.col("dst").alias("start")), e.select(F.col("src").alias("at"), F.col("dst").alias("next"))
+    found, number, length = None, 0, 2
+    while True:
+        closed = paths.join(back, ["at", "start"], "left_semi").select(F.lit(length).alias("cycle_length"), F.array_join(F.concat("path", F.array("start")), " -> ").alias("chain"))
+        closed = cut(closed)
         found = closed if found is None else found.unionByName(closed)
-        if length < max_length:
-            step = e.select(F.col("src").alias("at"), F.col("dst").alias("next"))
-            paths = paths.join(step, "at").filter((F.col("next") > F.col("start")) & ~F.array_contains("path", F.col("next"))).select("start", F.col("next").alias("at"), F.array_append("path", F.col("next")).alias("path"))
+        number += closed.count()
+        if limit and number >= limit or length == max_length:
+            break
+        paths = cut(paths.join(step, "at").filter((F.col("next") > F.col("start")) & ~F.array_contains("path", F.col("next"))).select("start", F.col("next").alias("at"), F.array_append("path", F.col("next")).alias("path")))
+        length += 1
+        if not paths.head(1):
+            break
     if limit:
-        found = found.orderBy("chain").limit(limit)
+        found = found.orderBy("cycle_length", "chain").limit(limit)
     return found.filter(F.array_contains(F.split("chain", " -> "), through)) if through else found
 
 
+def normalized_path(path: str, root: str = "") -> str:
+    """A path as modules are named: forward slashes, relative to ``root`` where it lies below it, without ``./`` and a trailing slash."""
+    clean = path.replace("\\", "/")
+    if root:
+        base = root.replace("\\", "/").rstrip("/")
+        clean = clean[len(base):] if clean == base or clean.startswith(base + "/") else clean
+        clean = clean.lstrip("/") if path.replace("\\", "/").startswith(base) else clean
+    parts: list[str] = []
+    for part in clean.split("/"):
+        if part == ".." and parts:
+            parts.pop()
+        elif part not in ("", ".", ".."):
+            parts.append(part)
+    return "/".join(parts)
+
+
 def verdict(graph: Graph, rules: list[dict] | None = None, allow_cycles: bool = False, layer: Column | None = None) -> DataFrame:
     """One row: PASSED or FAILED, violations, modules on cycles, modules looked at."""
     out = layer_violations(graph, rules, layer).agg(F.count("*").alias("total_violations"))

@@ -5,17 +5,19 @@ from __future__ import annotations
 from collections import defaultdict
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratograph.functions.paths import base_name
 from stratograph.graph import CALLS, IMPORTS, Graph
+from stratograph.operators.rank import with_rank
 from stratograph.session import cut
 
 SWEEPS, EPSILON = 20, 1e-12
-#: Weighted pairs up to which nodes are moved one after the other, in one task; beyond, all at once by halves.
-SEQUENTIAL_PAIRS = 200_000
-ROUNDS = 12
+#: Rounds after which moving by halves ends even if nodes still move; two of them are one sweep.
+ROUNDS = 2 * SWEEPS
+#: Weighted pairs up to which one task goes through the rounds; beyond it they are joins. The rule and its result are the same.
+ONE_TASK_PAIRS = 200_000
 #: Words of paths that name nothing.
 STOP_WORDS = ["src", "go", "py", "ts", "js", "main", "util", "test"]
 
@@ -69,43 +71,89 @@ def local_moving(pairs: list[tuple[str, str, float]], nodes: list[str] | None =
     return home
 
 
-def communities(graph: Graph, weights: DataFrame | None = None, sequential_pairs: int = SEQUENTIAL_PAIRS) -> DataFrame:
+def communities(graph: Graph, weights: DataFrame | None = None, method: str = "halves", one_task_pairs: int = ONE_TASK_PAIRS) -> DataFrame:
     """(path, community) of every module.
 
-    Up to ``sequential_pairs`` weighted pairs (a checked bound) the moves are made one after the other
-    in one task. Larger graphs move by halves: in each round the nodes of one hash half look at the
-    current communities and all move at once, which needs joins of fixed-size rows only; the result is as
-    deterministic, but not the same as that of the sequential order.
+    ``halves`` (the default, one rule at every size): in each round the nodes of one hash half look at the current communities and all
+    move at once to that of largest gain, as in :func:`moved_by_halves`, until no node of either half moves, or for ``ROUNDS`` rounds. Up to
+    ``one_task_pairs`` weighted pairs, which are counted first, one task computes this; beyond, joins of fixed-size rows do. ``sequential``:
+    :func:`local_moving`, one node after the other by name, which is one task by its nature.
     """
+    if method not in ("halves", "sequential"):
+        raise ValueError(f"unknown method {method!r}")
     weights = cut(module_weights(graph) if weights is None else weights)
     modules = graph.nodes.filter("level = 'L1' AND path <> ''").select("path").distinct()
-    if weights.limit(sequential_pairs + 1).count() <= sequential_pairs:
+    if method == "sequential" or weights.limit(one_task_pairs + 1).count() <= one_task_pairs:
+        move = moved_by_halves if method == "halves" else (lambda rows: local_moving([r[:3] for r in rows]))
+        hashed = weights.select("a", "b", "w", F.xxhash64("a").alias("ha"), F.xxhash64("b").alias("hb"))
+
         def run(frame: pd.DataFrame) -> pd.DataFrame:
-            home = local_moving(list(frame[["a", "b", "w"]].itertuples(index=False, name=None)))
+            home = move(list(frame[["a", "b", "w", "ha", "hb"]].itertuples(index=False, name=None)))
             return pd.DataFrame(list(home.items()), columns=["path", "community"])
 
-        labelled = weights.groupBy(F.lit(1).alias("one")).applyInPandas(lambda f: run(f), "path string, community string")
+        labelled = hashed.groupBy(F.lit(1).alias("one")).applyInPandas(lambda f: run(f), "path string, community string")
     else:
         labelled = _by_halves(weights)
     return modules.join(labelled, "path", "left").select("path", F.coalesce("community", "path").alias("community"))
 
 
+def moved_by_halves(rows: list[tuple[str, str, float, int, int]]) -> dict[str, str]:
+    """Communities of nodes given by weighted pairs and the hashes of both ends: the rule of :func:`communities`, in memory.
+
+    The gain of a community is weight to it times 2m minus its degree (without the node) times the node's, which is exact
+    for whole weights; a node stays if no other is larger, and of equal ones that of the smallest hash is taken.
+    """
+    near: dict[str, dict[str, float]] = defaultdict(dict)
+    hashes: dict[str, int] = {}
+    for a, b, w, ha, hb in rows:
+        near[a][b] = near[a].get(b, 0.0) + w
+        near[b][a] = near[b].get(a, 0.0) + w
+        hashes[a], hashes[b] = ha, hb
+    degree = {v: sum(x.values()) for v, x in near.items()}
+    twice, home, still = sum(degree.values()), {v: v for v in near}, 0
+    for r in range(ROUNDS):
+        total: dict[str, float] = defaultdict(float)
+        for v, c in home.items():
+            total[c] += degree[v]
+        moves = {}
+        for v, links in near.items():
+            if hashes[v] % 2 != r % 2:
+                continue
+            to: dict[str, float] = {home[v]: 0.0}
+            for u, w in links.items():
+                to[home[u]] = to.get(home[u], 0.0) + w
+            own = home[v]
+            best = max(to, key=lambda c: (to[c] * twice - (total[c] - (degree[v] if c == own else 0.0)) * degree[v], c == own, -hashes[c]))  # noqa: B023
+            if best != own:
+                moves[v] = best
+        home |= moves
+        still = 0 if moves else still + 1
+        if still == 2:
+            break
+    return home
+
+
 def _by_halves(weights: DataFrame) -> DataFrame:
+    """:func:`moved_by_halves` by joins."""
     both = cut(weights.select(F.col("a").alias("u"), F.col("b").alias("v"), "w").unionByName(weights.select(F.col("b").alias("u"), F.col("a").alias("v"), "w")))
     degree = cut(both.groupBy("u").agg(F.sum("w").alias("k")))
     twice = F.broadcast(degree.agg(F.sum("k").alias("m2")))  # one row
-    home = cut(degree.select("u", F.col("u").alias("c")))
+    home, still = cut(degree.select("u", F.col("u").alias("c"))), 0
     for r in range(ROUNDS):
         total = home.join(degree, "u").groupBy("c").agg(F.sum("k").alias("tot"))
-        links = both.join(home.select(F.col("u").alias("v"), "c"), "v").groupBy("u", "c").agg(F.sum("w").alias("k_in"))
-        options = links.unionByName(home.select("u", "c", F.lit(0.0).alias("k_in"))).groupBy("u", "c").agg(F.sum("k_in").alias("k_in"))
-        options = options.join(home.withColumnRenamed("c", "own"), "u").join(degree, "u").join(total, "c").join(twice)
-        gain = F.col("k_in") / F.col("m2") - (F.col("tot") - F.when(F.col("c") == F.col("own"), F.col("k")).otherwise(0.0)) * F.col("k") / (F.col("m2") * F.col("m2"))
-        best = options.withColumn("g", gain + F.when(F.col("c") == F.col("own"), EPSILON).otherwise(0.0)).groupBy("u").agg(F.max_by(F.struct("c", "own"), F.struct("g", (-F.xxhash64("c")).alias("t"))).alias("x"))
         turn = F.pmod(F.xxhash64("u"), F.lit(2)) == r % 2
-        moved = cut(best.select("u", F.when(turn, F.col("x.c")).otherwise(F.col("x.own")).alias("c"), (turn & (F.col("x.c") != F.col("x.own"))).alias("moved")))
+        mine = home.filter(turn)
+        links = both.filter(turn).join(home.select(F.col("u").alias("v"), "c"), "v").groupBy("u", "c").agg(F.sum("w").alias("k_in"))
+        options = links.unionByName(mine.select("u", "c", F.lit(0.0).alias("k_in"))).groupBy("u", "c").agg(F.sum("k_in").alias("k_in"))
+        options = options.join(mine.withColumnRenamed("c", "own"), "u").join(degree, "u").join(total, "c").join(twice)
+        stays = F.col("c") == F.col("own")
+        gain = F.col("k_in") * F.col("m2") - (F.col("tot") - F.when(stays, F.col("k")).otherwise(0.0)) * F.col("k")
+        # ~h is -h - 1, so the smallest hash is the largest here, without overflow
+        best = options.groupBy("u").agg(F.max_by("c", F.struct(gain.alias("g"), stays.alias("s"), F.bitwise_not(F.xxhash64("c")).alias("t"))).alias("to"))
+        moved = cut(home.join(best, "u", "left").select("u", F.coalesce("to", "c").alias("c"), (F.coalesce("to", "c") != F.col("c")).alias("moved")))
+        still = 0 if moved.filter("moved").head(1) else still + 1
         home = moved.select("u", "c")
-        if r % 2 and not moved.filter("moved").head(1):
+        if still == 2:
             break
     return home.select(F.col("u").alias("path"), F.col("c").alias("community"))
 
@@ -151,8 +199,8 @@ def community_report(graph: Graph, labelled: DataFrame, weights: DataFrame, min_
     rows = sizes.join(inside, "community", "left").join(outside, "community", "left").join(top, "community").join(names, "community", "left").filter(F.col("size") >= max(1, min_size))
     i, x = F.coalesce("internal_weight", F.lit(0.0)), F.coalesce("external_weight", F.lit(0.0))
     rows = rows.withColumns({"internal_weight": F.round(i, 2), "external_weight": F.round(x, 2), "cohesion": F.when(i + x > 0, F.round(i / (i + x), 2)).otherwise(F.lit(0.0))})
-    rank = F.row_number().over(Window.orderBy(F.desc("size"), F.desc("cohesion"), "first_module"))  # one row per community
-    return rows.select(F.concat(F.lit("community_"), rank).alias("id"), F.coalesce("suggested_name", F.lit("module-cluster")).alias("suggested_name"), "size", "internal_weight", "external_weight", "cohesion", (F.col("domains") > 1).alias("spans_multiple_dirs"), "dominant_domain", "dominant_modules", "first_module", "community")
+    rows = with_rank(rows, "_rank", F.desc("size"), F.desc("cohesion"), F.col("first_module"))
+    return rows.select(F.concat(F.lit("community_"), "_rank").alias("id"), F.coalesce("suggested_name", F.lit("module-cluster")).alias("suggested_name"), "size", "internal_weight", "external_weight", "cohesion", (F.col("domains") > 1).alias("spans_multiple_dirs"), "dominant_domain", "dominant_modules", "first_module", "community")
 
 
 def community_names(members: DataFrame) -> DataFrame:

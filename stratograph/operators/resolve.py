@@ -81,7 +81,10 @@ def resolve_imports(imports: DataFrame, files: DataFrame, aliases: DataFrame | N
     below = _first_file(named.select(*key, "base_rank", "_n", "base"), bases, [*key, "base_rank", "_n"])
     out = out.unionByName(named.select(*key, "names").join(below.select(*key, "target"), key))
     if go_modules is not None:
-        g = imp.filter(go).join(F.broadcast(go_modules.select("module", F.col("dir").alias("_dir"))), (spec == F.col("module")) | F.startswith(spec, F.concat("module", F.lit("/"))))  # one row per module file
+        # every leading part of a spec may be a module, so this is a join by equality
+        parts = F.split(spec, "/")
+        g = imp.filter(go).withColumn("module", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))))
+        g = g.join(go_modules.select("module", F.col("dir").alias("_dir")), "module")
         best = g.groupBy("source_file", "module_spec", "names").agg(F.max_by(F.struct("module", "_dir"), F.length("module")).alias("m"))
         sub = F.ltrim(F.expr("substring(module_spec, length(m.module) + 1)"), F.lit("/"))
         best = best.withColumn("package", F.array_join(F.filter(F.array(F.col("m._dir"), sub), lambda x: x != ""), "/"))

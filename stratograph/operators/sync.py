@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from stratograph.graph import Graph, as_nodes
 
-MANIFEST_VERSION = "1"
+MANIFEST_VERSION = "2"
 MANIFEST_SCHEMA = "path string, sha string, mtime long, size long, domain string"
 
 

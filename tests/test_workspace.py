@@ -75,9 +75,28 @@ def test_delta_equals_full_rebuild(spark, tmp_path):
     assert ("symbol:third.py:f", "symbol:pkg/user.py:U.save") in edges(ws.graph(), "CALLS")
     domains = {r["name"]: r["module_count"] for r in ws.graph().nodes.filter("level = 'L0'").collect()}
     assert domains == {"pkg": 3, "root": 1, "src": 1}
-    # a store that is not whole is built anew
+    assert ws._state()["graph"] == ["v/1", "v/2"]  # saved as changes
+    # a version that is not whole is set aside: the one before is in force, and a sync leads from there to the same graph
     import shutil
-    shutil.rmtree(tmp_path / "store" / ws._state()["at"] / "edges")
+    shutil.rmtree(tmp_path / "store" / "v/2/edges")
+    again = ws.sync()
+    assert (again["added"], again["modified"], again["deleted"], again["version"]) == (1, 1, 1, "v/3") and rows(ws.graph()) == rows(fresh.graph())
+    # one file after an edit; what else changed waits for the next sync
+    put(root, {"third.py": "def f(x):\n    return x.go()\n", "pkg/new.py": "def extra():\n    return 2\n"})
+    assert ws.sync_file("third.py")["modified"] == 1 and ws.sync_file("gone.py")["cached"] == 0
+    assert ws.graph().node("symbol:third.py:f").first()["calls"] == ["go"] and ws.graph().node("symbol:pkg/new.py:extra").first()["calls"] == ["f"]
+    assert ws.sync()["modified"] == 1
+    fresh.sync()
+    assert rows(ws.graph()) == rows(fresh.graph())
+    ws.clean()
+    assert rows(ws.graph()) == rows(fresh.graph()) and ws.sync()["cached"] == 5
+    # a store that does not fit what was recorded is built anew, and so is one of which nothing is whole
+    import json
+    commit = sorted((tmp_path / "store/commits").glob("*.json"))[-1]
+    (commit.parent / f".{commit.name}.crc").unlink()
+    commit.write_text(json.dumps(json.loads(commit.read_text()) | {"nodes": 1}))
+    assert ws.sync()["added"] == 5
+    shutil.rmtree(tmp_path / "store" / "v")
     assert ws.sync()["added"] == 5 and rows(ws.graph()) == rows(fresh.graph())
 
 
