@@ -16,11 +16,11 @@ from dataclasses import dataclass
 
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratograph.operators.skew import skew_join
-from stratograph.session import cut
+from stratograph.session import cut, stored
 
 LENGTH = 200
 #: Characters of a unit; a span of LENGTH has LENGTH - UNIT + 1 places at which one may begin.
@@ -35,8 +35,8 @@ BROADCAST_ROWS = 200_000
 #: Tasks for windows, as a multiple of the usual number: they are several times as large as the texts they are taken from.
 WINDOW_TASKS = 4
 
-UNIT_SCHEMA = "digest long, h binary, pos int"
-WINDOW_SCHEMA = "digest binary, prev long, h binary, pos int"
+UNIT_SCHEMA = "digest long, h long, pos int"
+WINDOW_SCHEMA = "digest binary, prev long, h long, pos int"
 #: Digests that are counted in a task before their counts are handed on.
 COUNTED = 200_000
 
@@ -77,7 +77,7 @@ def _units(batches: Iterator[pd.DataFrame], length: int, unit: int) -> Iterator[
                     records.append(h)
                     places.append(p)
                     digests.append(_long(text[p:p + unit]))
-        yield pd.DataFrame({"digest": pd.Series(digests, dtype="int64"), "h": pd.Series(records, dtype="object"), "pos": pd.Series(places, dtype="int32")})
+        yield pd.DataFrame({"digest": pd.Series(digests, dtype="int64"), "h": pd.Series(records, dtype="int64"), "pos": pd.Series(places, dtype="int32")})
 
 
 def _places(starts: list, chars: int, length: int, unit: int) -> Iterator[tuple[int, bool]]:
@@ -103,7 +103,7 @@ def _windows(batches: Iterator[pd.DataFrame], length: int, unit: int) -> Iterato
                 rows.append((digest, before[1] if before and before[0] == p - 1 else None, h, p))
                 before = (p, int.from_bytes(digest[:8], "big", signed=True))
         frame = pd.DataFrame(rows, columns=["digest", "prev", "h", "pos"])
-        yield frame.astype({"prev": "Int64", "pos": "int32"})
+        yield frame.astype({"prev": "Int64", "h": "int64", "pos": "int32"})
 
 
 def _counts(batches: Iterator[pd.DataFrame], length: int, unit: int) -> Iterator[pd.DataFrame]:
@@ -127,7 +127,7 @@ def _in(df: DataFrame, few: DataFrame, key: str | list[str], how: str) -> DataFr
 class Sharing:
     """What records share: ``members`` (h, id, keeper_id, chars, copies), ``windows`` (digest, prev, h, pos) and ``hot`` (digest).
 
-    Records of equal text are one class, ``h`` the 128-bit digest of its text, so a text that a third of all records repeat is
+    Records of equal text are one class, ``h`` its number, so a text that a third of all records repeat is
     looked at once. ``windows`` are those of ``length`` characters around units that stand in more than
     one class, not yet compared; ``hot`` are the digests of frequent ones.
     """
@@ -138,6 +138,20 @@ class Sharing:
     length: int
 
 
+def _number(text: Column) -> Column:
+    return F.xxhash64(text)
+
+
+def numbered(texts: DataFrame) -> DataFrame:
+    """Add ``h``: one number per text, 64 bits of a hash. Texts whose numbers clash, which 128 bits of another hash tell, get other numbers."""
+    m = F.unhex(F.md5("text"))
+    clash = cut(texts.select(_number(F.col("text")).alias("h"), m.alias("m")).groupBy("h").agg(F.min("m").alias("a"), F.max("m").alias("b")).filter("a <> b").select("h", F.lit(True).alias("_clash")))
+    out = texts.withColumn("h", _number(F.col("text")))
+    if not clash.head(1):
+        return out
+    return _in(out, clash, "h", "left").withColumn("h", F.when(F.col("_clash"), F.xxhash64(m)).otherwise(F.col("h"))).drop("_clash")
+
+
 def sharing(records: DataFrame, length: int = LENGTH, unit: int = UNIT, hot_rows: int = HOT_ROWS) -> Sharing:
     """Collect the windows of (id, text) records that may be shared.
 
@@ -150,13 +164,13 @@ def sharing(records: DataFrame, length: int = LENGTH, unit: int = UNIT, hot_rows
     windows of one digest, those with rarer units are fewer than the bound in all, so a digest of twice the
     bound or more is always found.
     """
-    texts = records.filter(F.col("id").isNotNull() & (F.char_length("text") >= length)).select("id", F.unhex(F.md5("text")).alias("h"), "text")
+    texts = numbered(records.filter(F.col("id").isNotNull() & (F.char_length("text") >= length)).select("id", "text"))
     named = texts.select("id", "h", F.char_length("text").alias("chars")).distinct()
     classes = named.groupBy("h").agg(F.min("id").alias("keeper_id"), F.count("*").alias("copies"))
     members = cut(skew_join(named, classes, ["h"], "inner", ["id"]))
     # one text per class: those of the other members are left where they are
     once = _in(texts, cut(members.filter("id <> keeper_id").select("id", "h")), ["id", "h"], "left_anti").select("h", "text")
-    units = cut(once.mapInPandas(lambda b: _units(b, length, unit), UNIT_SCHEMA))
+    units = stored(once.mapInPandas(lambda b: _units(b, length, unit), UNIT_SCHEMA))
     common = units.groupBy("digest").agg(F.min("h").alias("a"), F.max("h").alias("b"), F.count("*").alias("n")).filter("a <> b")
     common = cut(common.select("digest", (F.col("n") * (length - unit + 1) >= F.lit(hot_rows)).alias("near")))
     starts = _in(units, common, "digest", "inner").groupBy("h").agg(F.collect_set(F.struct("pos", "near")).alias("starts"))  # as many as the text has lines, at most
