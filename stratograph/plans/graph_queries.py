@@ -311,14 +311,23 @@ def a_components(spark: SparkSession, folder: str) -> DataFrame:
     return audit.components(audit.module_edges(_graph(spark, folder)))
 
 
-@_query(f"""SELECT * FROM (WITH RECURSIVE {_MODULE_EDGES}, walk(start, node, path) AS (SELECT src, dst, [src, dst] FROM me WHERE src < dst
-    UNION ALL SELECT w.start, e.dst, list_append(w.path, e.dst) FROM walk w JOIN me e ON e.src = w.node WHERE len(w.path) < 4 AND e.dst > w.start AND NOT list_contains(w.path, e.dst))
-  SELECT len(w.path) AS cycle_length, array_to_string(list_append(w.path, w.start), ' -> ') AS chain FROM walk w JOIN me e ON e.src = w.node AND e.dst = w.start)""")
+_WALK = """walk(start, node, path) AS (SELECT src, dst, [src, dst] FROM me WHERE src < dst
+    UNION ALL SELECT w.start, e.dst, list_append(w.path, e.dst) FROM walk w JOIN me e ON e.src = w.node WHERE len(w.path) < %d AND e.dst > w.start AND NOT list_contains(w.path, e.dst)),
+  cyc AS (SELECT len(w.path) AS cycle_length, array_to_string(list_append(w.path, w.start), ' -> ') AS chain FROM walk w JOIN me e ON e.src = w.node AND e.dst = w.start)"""
+
+
+@_query(f"""SELECT * FROM (WITH RECURSIVE {_MODULE_EDGES}, {_WALK % 4} SELECT cycle_length, chain FROM cyc)""")
 def a_cycles(spark: SparkSession, folder: str) -> DataFrame:
-    """All import cycles of up to four modules."""
+    """All import cycles of up to four modules: a length is asked for here."""
     return audit.simple_cycles(audit.module_edges(_graph(spark, folder)), 4, 0)
 
 
+@_query(f"""SELECT * FROM (WITH RECURSIVE {_MODULE_EDGES}, {_WALK % 7} SELECT cycle_length, chain FROM cyc ORDER BY cycle_length, chain LIMIT 10)""")
+def a_shortest_cycles(spark: SparkSession, folder: str) -> DataFrame:
+    """The report of an audit: the ten shortest import cycles, whatever their length (the statement looks as far as seven)."""
+    return audit.simple_cycles(audit.module_edges(_graph(spark, folder)))
+
+
 # ---- traversal --------------------------------------------------------------------------------
 def _hub(g: Graph) -> DataFrame:
     symbols = g.nodes.filter("level = 'L3'").select("id")
@@ -378,28 +387,34 @@ def t_paths(spark: SparkSession, folder: str) -> DataFrame:
 
 
 # ---- change impact ----------------------------------------------------------------------------
-_SPANS = "sp AS (SELECT DISTINCT regexp_extract(caller_id, '^symbol:(.*):[^:]*$', 1) AS file_path, line_number AS s, line_number + 1 AS e FROM call_specs WHERE line_number IS NOT NULL AND starts_with(called_name, 'merge'))"
+_SPANS = "sp AS (SELECT DISTINCT regexp_extract(caller_id, '^symbol:(.*):[^:]*$', 1) AS file_path, line_number AS s, line_number + 1 AS e FROM call_specs WHERE line_number IS NOT NULL)"
 
 
 def _spans(spark: SparkSession, folder: str) -> DataFrame:
-    calls = table(spark, folder, "call_specs").filter("line_number IS NOT NULL AND startswith(called_name, 'merge')")
+    calls = table(spark, folder, "call_specs").filter("line_number IS NOT NULL")
     return calls.select(F.regexp_extract("caller_id", "^symbol:(.*):[^:]*$", 1).alias("file_path"), F.col("line_number").alias("start"), (F.col("line_number") + 1).alias("end"))
 
 
 @_query(f"""SELECT * FROM (WITH {_SPANS} SELECT DISTINCT n.id, level, name, n.file_path, kind, signature, line_start || '-' || line_end AS lines, is_public FROM nodes n JOIN sp ON sp.file_path = n.file_path AND sp.s <= line_end AND sp.e >= line_start
   WHERE level IN ('L2', 'L3') AND line_start > 0 AND line_end > 0)""")
 def d_changed(spark: SparkSession, folder: str) -> DataFrame:
-    """Symbols and classes touched by a change of every line on which something called merge... is called."""
+    """Symbols and classes touched by a change of every line on which something is called."""
     return impact.changed_symbols(Graph(table_nodes(spark, folder), None), _spans(spark, folder))
 
 
-@_query(f"""SELECT * FROM (WITH RECURSIVE {_SPANS}, ch AS (SELECT DISTINCT n.id, n.name FROM nodes n JOIN sp ON sp.file_path = n.file_path AND sp.s <= line_end AND sp.e >= line_start WHERE level IN ('L2', 'L3') AND line_start > 0 AND line_end > 0),
+# the lines on which routes are declared, as another change set: most symbols are not touched by it
+_ROUTE_SPANS = "sp AS (SELECT DISTINCT file_path, line AS s, line AS e FROM route_endpoints WHERE line IS NOT NULL AND file_path IS NOT NULL)"
+
+
+@_query(f"""SELECT * FROM (WITH RECURSIVE {_ROUTE_SPANS}, ch AS (SELECT DISTINCT n.id, n.name FROM nodes n JOIN sp ON sp.file_path = n.file_path AND sp.s <= line_end AND sp.e >= line_start WHERE level IN ('L2', 'L3') AND line_start > 0 AND line_end > 0),
   te AS (SELECT DISTINCT src, dst FROM edges WHERE edge_type IN ('CALLS', 'IMPORTS', 'REFERENCES')),
   hop(id, h) AS (SELECT id, 0 FROM ch UNION SELECT e.src, h + 1 FROM hop JOIN te e ON e.dst = hop.id WHERE h < 2), dist AS (SELECT id, min(h) AS h FROM hop GROUP BY id)
   SELECT n.id, n.name, CASE WHEN n.file_path = '' THEN n.path ELSE n.file_path END AS file_path, n.kind, d.h AS distance FROM dist d JOIN nodes n ON n.id = d.id WHERE d.h > 0)""")
 def d_affected(spark: SparkSession, folder: str) -> DataFrame:
+    """What depends on the symbols that a change of every line with a route touches."""
     g = _graph(spark, folder)
-    changed = cut(impact.changed_symbols(g, _spans(spark, folder)))
+    spans = table(spark, folder, "route_endpoints").filter("line IS NOT NULL").select("file_path", F.col("line").alias("start"), F.col("line").alias("end"))
+    changed = cut(impact.changed_symbols(g, spans))
     return impact.affected(g, changed, 2).select("id", "name", "file_path", "kind", "distance")
 
 
@@ -441,7 +456,7 @@ def c_domain_score(spark: SparkSession, folder: str) -> DataFrame:
 
 @_query()
 def c_communities(spark: SparkSession, folder: str) -> DataFrame:
-    """Communities found by moving nodes one after the other; checked against a plain program in the tests."""
+    """Communities found by moving nodes by halves; checked against a plain program in the tests, on both sides of the bound of one task."""
     g = _graph(spark, folder)
     weights = cut(community.module_weights(g))
     return community.community_report(g, cut(community.communities(g, weights)), weights, 2)

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratograph.plans import data_queries, graph_queries
+from stratograph.plans import data_queries, graph_queries, parser_queries
 
-_MODULES = [data_queries, graph_queries]
+_MODULES = [data_queries, graph_queries, parser_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
