@@ -28,10 +28,10 @@ UNIT = 80
 #: k-gram of the winnowing inside long lines; with windows of UNIT - GRAM + 1 grams it finds a start in any UNIT characters.
 GRAM = 40
 
-#: Rows from which the windows of one digest, or the ends of one, are split over tasks.
-HOT_ROWS = 1000
+#: Rows from which the windows of one digest are split over tasks; fewer (some megabytes) meet in one.
+HOT_ROWS = 50_000
 #: Rows of fixed size up to which a set found by counting is broadcast; beyond, the same join is shuffled.
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS = 500_000
 #: Tasks for windows, as a multiple of the usual number: they are several times as large as the texts they are taken from.
 WINDOW_TASKS = 4
 

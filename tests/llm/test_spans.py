@@ -91,7 +91,7 @@ def test_pair_is_not_lost_between_hot_and_cold_units(spark):
     line, tail = word(100), word(320)
     rows = [(f"t{i:04}", f"{word(50)}\n{line}\n{word(60)}") for i in range(1200)]
     rows += [("a", f"{word(40)}\n{line}\n{tail}"), ("b", f"{word(40)}\nexport {line}\n{tail}")]
-    found = spans.sharing(spark.createDataFrame(rows, "id string, text string"))
+    found = spans.sharing(spark.createDataFrame(rows, "id string, text string"), hot_rows=1000)
     assert [tuple(r) for r in spans.sharing_pairs(found).collect()] == [("a", "b")]
 
 
