@@ -37,10 +37,10 @@ DOCUMENT_SCHEMA = "doc_id long, lang string, confidence double, langs array<stri
 
 _FENCE = regex.compile(r"(?ms)^[ \t]*(```+|~~~+).*?(?:^[ \t]*\1[^\n]*$|\Z)|^ {0,3}>[> \t]*(```+|~~~+)[^\n]*(?:\n {0,3}>(?![> \t]*\2)[^\n]*)*(?:\n {0,3}>[> \t]*\2[^\n]*)?|`+[^`\n]*`+|<(pre|code)\b.*?</\3>")
 #: Lines of tool output, quoted or not; a quote of anything else is prose, of which only the mark is no text.
-_OUTPUT = regex.compile(r"(?m)^(?: {0,3}(?:>(?!>> )[ \t]?+)++)?+(?:\$ |>>> |[ \t]*at [\w.$]+\(|Traceback \(|[ \t]+File \"|\d{4}-\d\d-\d\d[T ]\d\d:\d\d|(?:    |\t)\S|\[[A-Z]+\]|(?:ERROR|WARN|INFO|DEBUG|FATAL|panic)\b[: ]|\|).*$")
+_OUTPUT = regex.compile(r"(?m)^(?: {0,3}(?:>(?!>> )[ \t]?+)++)?+(?:\$ |>>> |[ \t]*at [\w.$]+\(|Traceback \(|[ \t]+File \"|\d{4}-\d\d-\d\d[T ]\d\d:\d\d|(?:    |\t)\S|\[[A-Z]+\]|(?:ERROR|WARN|INFO|DEBUG|FATAL|panic)\b[: ]).*$")
 _QUOTE = regex.compile(r"(?m)^ {0,3}(?:>[ \t]?)+")
 _NAME = regex.compile(r"\b(?:https?://|www\.)\S+|\b[\w.-]+@[\w-]+\.\w+|(?<![\p{L}])(?:[./~]?[\w-]+/)+[\w.-]+|\b\p{L}+_[\w]+|\b[a-z]+(?:[A-Z][a-z0-9]+)+\b|\b(?:[A-Z][a-z0-9]+){2,}\b|\b[\w-]+\.(?:py|go|js|ts|tsx|java|md|json|ya?ml|toml|rs|cs|php|kt|swift|c|h|cpp|sh|txt|sql)\b|\b\w+\(\)|\b[0-9a-f]{7,}\b|\{\{.*?\}\}|\$\{.*?\}|--?[a-z][\w-]*")
-_STOP = regex.compile(r"(?<=[.!?…])[\"'”’»)\]]*\s+|(?<=[。！？])[」』”]?|\n\s*\n|\n(?=\s*(?:[-*+•#>|]|\d+[.)])\s)|\n")
+_STOP = regex.compile(r"(?<=[.!?…])[\"'”’»)\]]*\s+|(?<=[。！？])[」』”]?|\n\s*\n|\n(?=\s*(?:[-*+•#>|]|\d+[.)])\s)|\s*\|\s*|\n")
 _WORD = regex.compile(r"[\p{L}\p{M}]+(?:['’][\p{L}\p{M}]+)*")
 _LETTER, _NO_BREAK = regex.compile(r"\p{L}"), regex.compile(r"[^\n]")
 _HANGUL = regex.compile(r"\p{Hangul}")

@@ -66,6 +66,28 @@ def test_quotes_are_passages(spark, data):
     assert [(rows[0][1][r["begin"]:r["end"]], r["sentences"]) for r in quoted] == [(T["de"], 4)]
 
 
+def test_passages_in_lists_and_tables(spark, data):
+    _, _, codes, model = data
+    rng = random.Random(6)
+    T = {k: text(k, rng) for k in TEXTS}
+    lines = {k: [x.strip() + "." for x in T[k].split(".") if x.strip()] for k in ("de", "fr", "en")}
+    items = "\n".join(f"- {x}" for x in lines["de"])
+    table = "| Step | Remark |\n|---|---|\n" + "\n".join(f"| {i} | {x} |" for i, x in enumerate(lines["fr"]))
+    rows = [(1, T["en"] + "\n\n" + items, "en"), (2, T["en"] + "\n\n" + table + "\n", "en"), (3, T["de"] + "\n\n1. " + "\n2. ".join(lines["en"]), "de"), (4, T["en"] + "\n\n| name | value |\n|---|---|\n| `a_b` | 12 |\n| x.py | 3 |\n", "en"), (5, "- " + "\n- ".join(lines["fr"]), "fr")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {tuple(r) for r in g.mislabelled(docs, codes, model).collect()} == {(1, "en"), (1, "de"), (2, "en"), (2, "fr"), (3, "de"), (3, "en")}
+
+
+def test_sample_is_bounded_and_whole(spark, data):
+    """At most so many rows a language, read to their end, and labels that are wrong are corrected."""
+    rng = random.Random(7)
+    rows = [(i, text("en", rng), "en") for i in range(60)] + [(100 + i, text("de", rng) if i % 3 else text("en", rng), "de") for i in range(60)] + [(999, "Nothing here. " * 4000 + "Zwölf Boxkämpfer jagen.", "fr")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = g.fit_model(docs, data[2], rows=30)
+    assert model.langs[int(model.word("niemand").argmax())] == "de" and model.langs[int(model.word("nobody").argmax())] == "en"
+    assert "boxkämpfer" in model.tables[0][0]
+
+
 def test_backoff_for_unseen_words(data):
     model = data[3]
     assert model.word("unbemerktheiten") is not None and model.langs[int(model.word("unbemerktheiten").argmax())] == "de"
