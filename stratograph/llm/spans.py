@@ -46,15 +46,16 @@ def _long(text: str) -> int:
 
 
 def unit_starts(text: str, length: int = LENGTH, unit: int = UNIT) -> list[int]:
-    """Starts of the units of a text: its own start, every line start, and winnowed places in long lines.
+    """Starts of the units of a text: its own start, local minima among its line starts, and winnowed places in long lines.
 
-    If two texts have a common substring of ``length`` characters, both have the same unit start in
-    it with ``unit`` characters to follow: either a line break lies in its first
-    ``length - unit`` characters, or these lie in one line, and then a full winnowing window does.
+    If two texts have a common substring of ``length`` characters, both have the same unit start in it with ``unit`` characters to follow.
+    Either a line break lies in its first ``length - unit`` characters: the starts of lines behind it are the same in both, and of
+    those within that many places the one of smallest digest is a minimum in both. Or they lie in one line, and then a full winnowing window does.
     """
-    starts, at, gap = [], 0, length - unit
+    starts, lines, at, gap = [0], [], 0, length - unit
     for line in text.split("\n"):
-        starts.append(at)
+        if at and at + unit <= len(text):
+            lines.append((at, _long(text[at:at + unit])))
         if len(line) >= gap:
             size = unit - GRAM + 1
             grams = [_long(line[i:i + GRAM]) for i in range(len(line) - GRAM + 1)]
@@ -62,10 +63,19 @@ def unit_starts(text: str, length: int = LENGTH, unit: int = UNIT) -> list[int]:
             for i in range(len(grams) - size + 1):
                 if last < i or grams[i + size - 1] <= grams[last]:
                     last = min(range(i, i + size), key=lambda j: (grams[j], -j))
-                    if last:
+                    if last or at:
                         starts.append(at + last)
         at += len(line) + 1
-    return starts
+    # a line start is a minimum if some ``gap`` places in a row hold it and no smaller one; of equal ones the last counts
+    left, right, open_ = [-gap - 1] * len(lines), [len(text) + gap + 1] * len(lines), []
+    for i, (p, digest) in enumerate(lines):
+        while open_ and lines[open_[-1]][1] >= digest:
+            right[open_.pop()] = p
+        if open_:
+            left[i] = lines[open_[-1]][0]
+        open_.append(i)
+    starts += [p for i, (p, _) in enumerate(lines) if right[i] - left[i] > gap]
+    return sorted(set(starts))
 
 
 def _units(batches: Iterator[pd.DataFrame], length: int, unit: int) -> Iterator[pd.DataFrame]:
@@ -174,10 +184,11 @@ def sharing(records: DataFrame, length: int = LENGTH, unit: int = UNIT, hot_rows
     common = units.groupBy("digest").agg(F.min("h").alias("a"), F.max("h").alias("b"), F.count("*").alias("n")).filter("a <> b")
     common = cut(common.select("digest", (F.col("n") * (length - unit + 1) >= F.lit(hot_rows)).alias("near")))
     starts = _in(units, common, "digest", "inner").groupBy("h").agg(F.collect_set(F.struct("pos", "near")).alias("starts"))  # as many as the text has lines, at most
-    starts = cut(starts)
-    # the sizes of these rows are not bounded, so how they are joined is left to the engine
-    windows = once.join(starts, "h").mapInPandas(lambda b: _windows(b, length, unit), WINDOW_SCHEMA)
-    near = once.join(starts.filter(F.exists("starts", lambda s: s["near"])), "h").mapInPandas(lambda b: _counts(b, length, unit), "digest binary, n long")
+    starts = stored(starts)
+    near = starts.filter(F.exists("starts", lambda s: s["near"]))
+    # only texts with such units move; the sizes of their rows are not bounded, so how they are joined is left to the engine
+    windows = _in(once, starts.select("h"), "h", "left_semi").join(starts, "h").mapInPandas(lambda b: _windows(b, length, unit), WINDOW_SCHEMA)
+    near = _in(once, near.select("h"), "h", "left_semi").join(near, "h").mapInPandas(lambda b: _counts(b, length, unit), "digest binary, n long")
     hot = cut(near.groupBy("digest").agg(F.sum("n").alias("n")).filter(F.col("n") >= hot_rows).select("digest"))
     return Sharing(members, windows, hot, length)
 
