@@ -94,7 +94,7 @@ def communities(graph: Graph, weights: DataFrame | None = None, method: str = "h
         labelled = hashed.groupBy(F.lit(1).alias("one")).applyInPandas(lambda f: run(f), "path string, community string")
     else:
         labelled = _by_halves(weights)
-    return modules.join(labelled, "path", "left").select("path", F.coalesce("community", "path").alias("community"))
+    return cut(modules.join(labelled, "path", "left").select("path", F.coalesce("community", "path").alias("community")))
 
 
 def moved_by_halves(rows: list[tuple[str, str, float, int, int]]) -> dict[str, str]:

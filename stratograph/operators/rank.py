@@ -11,9 +11,9 @@ from stratograph.session import cut
 def with_rank(df: DataFrame, name: str, *order: Column) -> DataFrame:
     """Add ``name``: 1, 2, ... in an order that must be total.
 
-    Rows are sorted into ranges, written once, counted per range and numbered within it; the driver sees one count per range.
+    Rows are computed once, sorted into ranges, written, counted per range and numbered within it; the driver sees one count per range.
     """
-    ranges = cut(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    ranges = cut(cut(df).repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
     before, total = [], 0
     for r in ranges.groupBy("_range").agg(F.count("*").alias("n")).orderBy("_range").collect():
         before.append((r["_range"], total))

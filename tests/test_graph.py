@@ -117,8 +117,12 @@ def test_components_and_cycles_against_brute_force(spark, seed):
     cycles = {c for c in cycles if c.count("->") > 1}
     assert {r["chain"] for r in audit.simple_cycles(df, 5, 0).collect()} == cycles
     assert audit.simple_cycles(df, 5, 3).count() == min(3, len(cycles))
-    ring = [(f"n{i:02}", f"n{(i + 1) % 9:02}") for i in range(9)] + [("n03", "n04"), ("x", "n00")]
-    assert [r["cycle_length"] for r in audit.simple_cycles(spark.createDataFrame(ring, "src string, dst string")).collect()] == [9]
+
+
+def test_cycles_of_any_length(spark):
+    ring = [(f"n{i}", f"n{(i + 1) % 6}") for i in range(6)] + [("x", "n0")]
+    assert [r["cycle_length"] for r in audit.simple_cycles(spark.createDataFrame(ring, "src string, dst string")).collect()] == [6]
+    assert audit.normalized_path("./a//b/../c.py/") == "a/c.py" and audit.normalized_path("/w/x/a.py", "/w/x/") == "a.py" and audit.normalized_path("a\\b.py") == "a/b.py"
 
 
 def test_hub_cycles(spark):
@@ -146,12 +150,11 @@ def test_communities(spark):
     assert community.coupling_score(w.limit(0), told).first()["health"] == "INSUFFICIENT_DATA"
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_communities_are_the_same_on_both_sides_of_the_bound(spark, seed):
+def test_communities_are_the_same_on_both_sides_of_the_bound(spark):
     """One rule: in one task, by joins, and as a plain program that looks at every community for every node."""
-    rng = random.Random(seed)
-    names = [f"m{i:02}.py" for i in range(40)]
-    pairs = {(a, b): rng.choice([1.0, 2.0, 3.0]) for a in names for b in names if a < b and rng.random() < (0.3 if int(a[1:3]) // 10 == int(b[1:3]) // 10 else 0.02)}
+    rng = random.Random(1)
+    names = [f"m{i:02}.py" for i in range(16)]
+    pairs = {(a, b): rng.choice([1.0, 2.0, 3.0]) for a in names for b in names if a < b and rng.random() < (0.7 if int(a[1:3]) // 5 == int(b[1:3]) // 5 else 0.05)}
     w = spark.createDataFrame([(a, b, x) for (a, b), x in pairs.items()], "a string, b string, w double")
     g = graph(spark, [{"id": f"file:{p}", "level": "L1", "path": p} for p in names], [])
     one = {r["path"]: r["community"] for r in community.communities(g, w).collect()}
@@ -170,7 +173,7 @@ def test_communities_are_the_same_on_both_sides_of_the_bound(spark, seed):
         still, home = (0 if new != home else still + 1), new
         if still == 2:
             break
-    assert home == one and len(set(one.values())) < 20
+    assert home == one and len(set(one.values())) < 8
 
 
 def test_local_moving_never_loses_modularity():
