@@ -84,7 +84,8 @@ def communities(graph: Graph, weights: DataFrame | None = None, method: str = "h
     weights = cut(module_weights(graph) if weights is None else weights)
     modules = graph.nodes.filter("level = 'L1' AND path <> ''").select("path").distinct()
     if method == "sequential" or weights.limit(one_task_pairs + 1).count() <= one_task_pairs:
-        move = moved_by_halves if method == "halves" else (lambda rows: local_moving([r[:3] for r in rows]))
+        rounds = ROUNDS
+        move = (lambda rows: moved_by_halves(rows, rounds)) if method == "halves" else (lambda rows: local_moving([r[:3] for r in rows]))
         hashed = weights.select("a", "b", "w", F.xxhash64("a").alias("ha"), F.xxhash64("b").alias("hb"))
 
         def run(frame: pd.DataFrame) -> pd.DataFrame:
@@ -97,7 +98,7 @@ def communities(graph: Graph, weights: DataFrame | None = None, method: str = "h
     return cut(modules.join(labelled, "path", "left").select("path", F.coalesce("community", "path").alias("community")))
 
 
-def moved_by_halves(rows: list[tuple[str, str, float, int, int]]) -> dict[str, str]:
+def moved_by_halves(rows: list[tuple[str, str, float, int, int]], rounds: int = ROUNDS) -> dict[str, str]:
     """Communities of nodes given by weighted pairs and the hashes of both ends: the rule of :func:`communities`, in memory.
 
     The gain of a community is weight to it times 2m minus its degree (without the node) times the node's, which is exact
@@ -111,7 +112,7 @@ def moved_by_halves(rows: list[tuple[str, str, float, int, int]]) -> dict[str, s
         hashes[a], hashes[b] = ha, hb
     degree = {v: sum(x.values()) for v, x in near.items()}
     twice, home, still = sum(degree.values()), {v: v for v in near}, 0
-    for r in range(ROUNDS):
+    for r in range(rounds):
         total: dict[str, float] = defaultdict(float)
         for v, c in home.items():
             total[c] += degree[v]
