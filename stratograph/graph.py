@@ -107,6 +107,13 @@ class Graph:
                 fs.delete(path(made), True)  # another run was faster
         return cls(cls._stored_nodes(spark, root), spark.read.schema(EDGE_SCHEMA).parquet(f"{root}/edges"), f"{root}/index")
 
+    @classmethod
+    def built(cls, spark: SparkSession, folder: str) -> Graph | None:
+        """What :meth:`indexed` has stored for this state of the tables; none if it was not asked yet."""
+        root = f"{shared_dir(spark)}/graphs/{_state(spark, folder)}"
+        fs, path = _files(spark, root)
+        return cls.indexed(spark, folder) if fs.exists(path(root)) else None
+
     @staticmethod
     def _stored_nodes(spark: SparkSession, root: str) -> DataFrame:
         schema = ", ".join(f"{name} {kind}" for name, (kind, _) in NODE_FIELDS.items())

@@ -5,19 +5,26 @@ from __future__ import annotations
 from collections import defaultdict
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratograph.functions.paths import base_name
-from stratograph.graph import CALLS, IMPORTS, Graph
+from stratograph.graph import CALLS, IMPORTS, Graph, short_name
+from stratograph.operators import resolve
 from stratograph.operators.rank import with_rank
-from stratograph.session import cut
+from stratograph.session import cut, stored
 
 SWEEPS, EPSILON = 20, 1e-12
 #: Rounds after which moving by halves ends even if nodes still move; two of them are one sweep.
 ROUNDS = 2 * SWEEPS
 #: Weighted pairs up to which one task goes through the rounds; beyond it they are joins. The rule and its result are the same.
 ONE_TASK_PAIRS = 200_000
+#: Nodes, as rows of numbers, up to which the communities of all of them are broadcast in a round; beyond, the same joins are shuffled.
+BROADCAST_NODES = 500_000
+#: Columns of nodes from which :func:`table_weights` works.
+COUPLED = ["id", "level", "name", "path", "file_path", "domain", "import_paths", "parent_id", "calls"]
+#: Bits of the number a symbol has within its file; the bits above are the number of the file.
+FILE_BITS = 32
 #: Words of paths that name nothing.
 STOP_WORDS = ["src", "go", "py", "ts", "js", "main", "util", "test"]
 
@@ -32,6 +39,33 @@ def module_weights(graph: Graph) -> DataFrame:
     return pairs(graph.of_type(IMPORTS), modules, 2.0).unionByName(pairs(graph.of_type(CALLS), symbols, 1.0)).groupBy("a", "b").agg(F.sum("w").alias("w"))
 
 
+def table_weights(nodes: DataFrame) -> DataFrame:
+    """:func:`module_weights` of table nodes, resolved from the nodes themselves.
+
+    Calls are resolved over numbers: a symbol is its file's number and its own within the file in one long, so the shuffled rows
+    are short and the files of a call are read from its ends.
+    """
+    modules = nodes.filter("level = 'L1'").select("id", "path", "import_paths", "level")
+    symbols = nodes.filter("level = 'L3'").select("id", "name", "file_path", "parent_id", "calls")
+    files = stored(with_rank(modules.select("path").unionByName(symbols.select(F.col("file_path").alias("path"))).distinct(), "n", F.col("path")))
+    number = lambda c, n: files.select(F.col("path").alias(c), F.col("n").alias(n))
+    in_file = Window.partitionBy("file_path")
+    coded = symbols.join(number("file_path", "f"), "file_path").withColumns({"_i": F.row_number().over(in_file.orderBy("id")), "_c": F.dense_rank().over(in_file.orderBy("parent_id"))})
+    parent = F.when(F.startswith("parent_id", F.lit("class:")), F.concat(F.lit("class:"), "_c"))
+    coded = stored(coded.select((F.shiftleft("f", FILE_BITS) + F.col("_i")).alias("id"), short_name(F.col("name")).alias("name"), F.col("f").alias("file_path"), parent.alias("parent_id"), "calls"))
+    imports = stored(resolve.table_imports(modules).select("source_file", "target"))
+    coded_imports = imports.join(number("source_file", "s"), "source_file").join(number("target", "t"), "target").select(F.col("s").alias("source_file"), F.col("t").alias("target"))
+    calls = resolve.resolve_calls(coded.select(F.col("id").alias("caller_id"), F.explode("calls").alias("called_name")), coded, coded_imports)
+    file_of = lambda c: F.shiftright(c, FILE_BITS)
+    across = calls.select(F.least(file_of("src"), file_of("dst")).alias("i"), F.greatest(file_of("src"), file_of("dst")).alias("j")).filter("i <> j").groupBy("i", "j").agg(F.count("*").cast("double").alias("w"))
+    known = stored(modules.select("path").filter("path <> ''").distinct().join(files, "path"))
+    back = lambda n, p: known.select(F.col("n").alias(n), F.col("path").alias(p))
+    called = across.join(back("i", "p"), "i").join(back("j", "q"), "j").select("p", "q", "w")
+    file = lambda c, p: modules.filter("path <> ''").select(F.expr("substring(id, 6)").alias(c), F.col("path").alias(p), "id").filter("startswith(id, 'file:')").drop("id")
+    imported = imports.join(file("source_file", "p"), "source_file").join(file("target", "q"), "target").filter("p <> q").select("p", "q", F.lit(2.0).alias("w"))
+    return called.unionByName(imported).groupBy(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).agg(F.sum("w").alias("w"))
+
+
 def local_moving(pairs: list[tuple[str, str, float]], nodes: list[str] | None = None, sweeps: int = SWEEPS) -> dict[str, str]:
     """First phase of modularity optimisation: nodes in order of name move to the community of largest gain, until none does.
 
@@ -81,7 +115,7 @@ def communities(graph: Graph, weights: DataFrame | None = None, method: str = "h
     """
     if method not in ("halves", "sequential"):
         raise ValueError(f"unknown method {method!r}")
-    weights = cut(module_weights(graph) if weights is None else weights)
+    weights = cut(module_weights(graph)) if weights is None else weights
     modules = graph.nodes.filter("level = 'L1' AND path <> ''").select("path").distinct()
     if method == "sequential" or weights.limit(one_task_pairs + 1).count() <= one_task_pairs:
         rounds = ROUNDS
@@ -135,28 +169,48 @@ def moved_by_halves(rows: list[tuple[str, str, float, int, int]], rounds: int =
 
 
 def _by_halves(weights: DataFrame) -> DataFrame:
-    """:func:`moved_by_halves` by joins."""
-    both = cut(weights.select(F.col("a").alias("u"), F.col("b").alias("v"), "w").unionByName(weights.select(F.col("b").alias("u"), F.col("a").alias("v"), "w")))
-    degree = cut(both.groupBy("u").agg(F.sum("w").alias("k")))
-    twice = F.broadcast(degree.agg(F.sum("k").alias("m2")))  # one row
-    home, still = cut(degree.select("u", F.col("u").alias("c"))), 0
+    """:func:`moved_by_halves` by joins of numbers.
+
+    Nodes are numbered by hash, then path, so that the smallest hash is the smallest number. Every node has a link of weight 0
+    to itself, which stands for staying; a round shuffles the links of one half once and answers with the new communities of its nodes.
+    """
+    ends = weights.select(F.explode(F.array("a", "b")).alias("path")).distinct().withColumn("h", F.xxhash64("path"))
+    nodes = stored(with_rank(ends, "n", F.col("h"), F.col("path")).select("path", "n", F.pmod("h", F.lit(2)).alias("half")))
+    small = nodes.count() <= BROADCAST_NODES
+    spread_by = (lambda df: F.broadcast(df)) if small else (lambda df: df)
+    number = lambda c, n: spread_by(nodes.select(F.col("path").alias(c), F.col("n").alias(n)))
+    pairs = stored(weights.join(number("a", "u"), "a").join(number("b", "v"), "b").select("u", "v", "w"))
+    both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"), "w"))
+    degree = both.groupBy("u").agg(F.sum("w").alias("k"))
+    start = stored(nodes.select(F.col("n").alias("u"), "half").join(degree, "u"))
+    linked = both.unionByName(start.select("u", F.col("u").alias("v"), F.lit(0.0).alias("w"))).join(spread_by(start), "u")
+    # the order lets what a round shuffles compress well
+    near = [cut(linked.filter(F.col("half") == half).select("u", "v", "w", "k").repartition("u").sortWithinPartitions("u")) for half in (0, 1)]
+    homes = [start.filter(F.col("half") == half).select("u", F.col("u").alias("c"), "k") for half in (0, 1)]
+    twice, still = start.agg(F.coalesce(F.sum("k"), F.lit(0.0))).head()[0], 0
     for r in range(ROUNDS):
-        total = home.join(degree, "u").groupBy("c").agg(F.sum("k").alias("tot"))
-        turn = F.pmod(F.xxhash64("u"), F.lit(2)) == r % 2
-        mine = home.filter(turn)
-        links = both.filter(turn).join(home.select(F.col("u").alias("v"), "c"), "v").groupBy("u", "c").agg(F.sum("w").alias("k_in"))
-        options = links.unionByName(mine.select("u", "c", F.lit(0.0).alias("k_in"))).groupBy("u", "c").agg(F.sum("k_in").alias("k_in"))
-        options = options.join(mine.withColumnRenamed("c", "own"), "u").join(degree, "u").join(total, "c").join(twice)
-        stays = F.col("c") == F.col("own")
-        gain = F.col("k_in") * F.col("m2") - (F.col("tot") - F.when(stays, F.col("k")).otherwise(0.0)) * F.col("k")
-        # ~h is -h - 1, so the smallest hash is the largest here, without overflow
-        best = options.groupBy("u").agg(F.max_by("c", F.struct(gain.alias("g"), stays.alias("s"), F.bitwise_not(F.xxhash64("c")).alias("t"))).alias("to"))
-        moved = cut(home.join(best, "u", "left").select("u", F.coalesce("to", "c").alias("c"), (F.coalesce("to", "c") != F.col("c")).alias("moved")))
-        still = 0 if moved.filter("moved").head(1) else still + 1
-        home = moved.select("u", "c")
+        moved = cut(_moves(near[r % 2], homes[0].unionByName(homes[1]), twice, small))
+        homes[r % 2] = moved.select("u", "c", "k")
+        still = 0 if moved.agg(F.max(F.col("c") != F.col("own"))).head()[0] else still + 1
         if still == 2:
             break
-    return home.select(F.col("u").alias("path"), F.col("c").alias("community"))
+    home = homes[0].unionByName(homes[1]).select("u", "c")
+    return home.join(number("path", "u"), "u").join(number("community", "c"), "c").select("path", "community")
+
+
+def _moves(near: DataFrame, home: DataFrame, twice: float, small: bool) -> DataFrame:
+    """(u, own, c, k): the old and the new community of the nodes ``u`` of ``near`` (u, v, w, k), as all nodes are at ``home`` (u, c, k).
+
+    ``small``: there are few nodes, and what is joined to links is broadcast.
+    """
+    spread_by = (lambda df: F.broadcast(df)) if small else (lambda df: df)
+    total = home.groupBy("c").agg(F.sum("k").alias("tot"))
+    seats = home.select(F.col("u").alias("v"), "c").join(spread_by(total), "c")
+    links = near.join(spread_by(seats), "v").select("u", "c", "w", "tot", "k", (F.col("u") == F.col("v")).alias("stays")).repartition("u")
+    options = links.groupBy("u", "c").agg(F.sum("w").alias("k_in"), F.max("tot").alias("tot"), F.max("k").alias("k"), F.max("stays").alias("stays"))
+    gain = F.col("k_in") * F.lit(twice) - (F.col("tot") - F.when(F.col("stays"), F.col("k")).otherwise(0.0)) * F.col("k")
+    best = F.max(F.struct(gain.alias("g"), "stays", (-F.col("c")).alias("t")))
+    return options.groupBy("u").agg(F.max(F.when(F.col("stays"), F.col("c"))).alias("own"), (-best["t"]).alias("c"), F.max("k").alias("k"))
 
 
 def coupling_score(weights: DataFrame, labelled: DataFrame) -> DataFrame:
