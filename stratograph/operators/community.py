@@ -172,7 +172,7 @@ def _by_halves(weights: DataFrame) -> DataFrame:
     """:func:`moved_by_halves` by joins of numbers.
 
     Nodes are numbered by hash, then path, so that the smallest hash is the smallest number. Every node has a link of weight 0
-    to itself, which stands for staying; a round shuffles the links of one half once and answers with the new communities of its nodes.
+    to itself, which stands for staying; a round answers with the new communities of one half.
     """
     ends = weights.select(F.explode(F.array("a", "b")).alias("path")).distinct().withColumn("h", F.xxhash64("path"))
     nodes = stored(with_rank(ends, "n", F.col("h"), F.col("path")).select("path", "n", F.pmod("h", F.lit(2)).alias("half")))
@@ -184,8 +184,8 @@ def _by_halves(weights: DataFrame) -> DataFrame:
     degree = both.groupBy("u").agg(F.sum("w").alias("k"))
     start = stored(nodes.select(F.col("n").alias("u"), "half").join(degree, "u"))
     linked = both.unionByName(start.select("u", F.col("u").alias("v"), F.lit(0.0).alias("w"))).join(spread_by(start), "u")
-    # the order lets what a round shuffles compress well
-    near = [cut(linked.filter(F.col("half") == half).select("u", "v", "w", "k").repartition("u").sortWithinPartitions("u")) for half in (0, 1)]
+    # where communities are broadcast, the links of a node are summed up where they lie
+    near = [cut(linked.filter(F.col("half") == half).select("u", "v", "w", "k").repartition("u" if small else "v")) for half in (0, 1)]
     homes = [start.filter(F.col("half") == half).select("u", F.col("u").alias("c"), "k") for half in (0, 1)]
     twice, still = start.agg(F.coalesce(F.sum("k"), F.lit(0.0))).head()[0], 0
     for r in range(ROUNDS):
@@ -206,8 +206,7 @@ def _moves(near: DataFrame, home: DataFrame, twice: float, small: bool) -> DataF
     spread_by = (lambda df: F.broadcast(df)) if small else (lambda df: df)
     total = home.groupBy("c").agg(F.sum("k").alias("tot"))
     seats = home.select(F.col("u").alias("v"), "c").join(spread_by(total), "c")
-    links = near.join(spread_by(seats), "v").select("u", "c", "w", "tot", "k", (F.col("u") == F.col("v")).alias("stays")).repartition("u")
-    options = links.groupBy("u", "c").agg(F.sum("w").alias("k_in"), F.max("tot").alias("tot"), F.max("k").alias("k"), F.max("stays").alias("stays"))
+    options = near.join(spread_by(seats), "v").groupBy("u", "c").agg(F.sum("w").alias("k_in"), F.max("tot").alias("tot"), F.max("k").alias("k"), F.max(F.col("u") == F.col("v")).alias("stays"))
     gain = F.col("k_in") * F.lit(twice) - (F.col("tot") - F.when(F.col("stays"), F.col("k")).otherwise(0.0)) * F.col("k")
     best = F.max(F.struct(gain.alias("g"), "stays", (-F.col("c")).alias("t")))
     return options.groupBy("u").agg(F.max(F.when(F.col("stays"), F.col("c"))).alias("own"), (-best["t"]).alias("c"), F.max("k").alias("k"))
