@@ -24,7 +24,7 @@ def test_weights_over_numbers(spark):
     assert got == {tuple(r) for r in community.module_weights(Graph(n, table_edges(n))).collect()} and len(got) > 5
 
 
-@pytest.mark.parametrize("name", ["c_communities"])
+@pytest.mark.parametrize("name", ["c_communities", "c_drift"])
 def test_queries_of_coupling_do_not_build_the_stored_graph(spark, tmp_path, name):
     shutil.copytree(data_dir(), tmp_path / "data")
     ask = lambda: sorted(map(str, graph_queries.QUERIES[name](spark, str(tmp_path / "data")).collect()))
@@ -34,7 +34,7 @@ def test_queries_of_coupling_do_not_build_the_stored_graph(spark, tmp_path, name
     assert ask() == from_tables
 
 
-def test_rounds_by_joins_shuffle_links_once(spark, monkeypatch):
+def test_rounds_by_joins_do_not_shuffle_links(spark, monkeypatch):
     pairs = [(a, b, 1.0) for a, b in random_edges(40, 90, 3) if a < b]
     w, g = spark.createDataFrame(pairs, "a string, b string, w double"), graph(spark, [{"id": f"file:{p}", "level": "L1", "path": p} for p in {x for a, b, _ in pairs for x in (a, b)}], [])
     plans, moves = [], community._moves
@@ -48,6 +48,6 @@ def test_rounds_by_joins_shuffle_links_once(spark, monkeypatch):
     monkeypatch.setattr(community, "_moves", seen)
     one = sorted(community.communities(g, w).collect())
     assert sorted(community.communities(g, w, one_task_pairs=0).collect()) == one
-    assert plans and all(p.count("Exchange hashpartitioning(u") == 1 and p.count("BroadcastHashJoin") == 2 for p in plans)
+    assert plans and all("hashpartitioning(v" not in p and p.count("BroadcastHashJoin") == 2 for p in plans)
     monkeypatch.setattr(community, "BROADCAST_NODES", 0)
     assert sorted(community.communities(g, w, one_task_pairs=0).collect()) == one
